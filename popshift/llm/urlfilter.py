@@ -11,6 +11,8 @@ Defined results: a null URL, or one without "://", has empty host and path, fits
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from popshift.llm.common import lower_ascii, read, staged
@@ -45,23 +47,24 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return (rule, verdict) if rule is not None else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
-def _positions(key: Column, level: int, bits: int) -> Column:
+def _positions(key: Column, level: int, bits: int) -> list[Column]:
     """HASHES bit positions by double hashing; each level hashes with a seed of its own."""
     a, b = (F.pmod(F.xxhash64(key, F.lit(2 * level + i)), F.lit(bits)) for i in (0, 1))
-    return F.array(*[F.pmod(a + F.lit(i) * b, F.lit(bits)) for i in range(HASHES)])
+    return [F.pmod(a + F.lit(i) * b, F.lit(bits)) for i in range(HASHES)]
 
 
 def _filter_words(keys: DataFrame, level: int, bits: int) -> DataFrame:
     """One row: the level's bits as an array of 64-bit words."""
     spark = keys.sparkSession
-    set_bits = keys.select(F.explode(_positions(F.col("key"), level, bits)).alias("bit"))
+    set_bits = keys.select(F.explode(F.array(*_positions(F.col("key"), level, bits))).alias("bit"))
     words = set_bits.groupBy(F.floor(F.col("bit") / 64).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("v"))
     dense = spark.range(bits // 64).withColumnRenamed("id", "w").join(words, "w", "left").select("w", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
     return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "v"))), lambda x: x["v"]).alias("words"))
 
 
 def _let_through(words: Column, key: Column, level: int, bits: int) -> Column:
-    return F.forall(_positions(key, level, bits), lambda p: F.call_function("getbit", F.get(words, F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1)
+    set_ = [F.call_function("getbit", F.get(words, F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1 for p in _positions(key, level, bits)]
+    return reduce(lambda a, b: a & b, set_)
 
 
 class Cascade:
