@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from popshift.llm import decontam, urlfilter
+from popshift.llm import bpe, decontam, langid, media, simhash, urlfilter, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
+    "op3_language_id": langid.op3_language_id,
+    "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op5_media_columns": media.op5_media_columns,
+    "op6_bpe": bpe.op6_bpe,
     "op9_url_filters": urlfilter.op9_url_filters,
     "op10_benchmark_decontamination": decontam.op10_benchmark_decontamination,
 }
 ORACLE_SQL = {
+    "op2_warc": warc.OP2_SQL,
     "op9_url_filters": urlfilter.OP9_SQL,
     "op10_benchmark_decontamination": decontam.OP10_SQL,
 }
