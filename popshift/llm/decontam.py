@@ -143,6 +143,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     return df.mapInArrow(digest, f"doc_id {schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>, spans array<array<int>>")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs, all columns as they are, in which no item's window occurs."""
+    small_batches(docs.sparkSession)
+    out = docs
+    for block in _item_blocks(benchmark):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def keep(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            matchers = compile_items(sent.value, window)
+            for batch in batches:
+                hit = [any(True for m in matchers for _ in m.find(words)) for words in (words_of((x.as_py() or "").encode()) for x in column(batch, "text"))]
+                yield batch.filter(pa.array([not h for h in hit], pa.bool_()))
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items", "spans")
 

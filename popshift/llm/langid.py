@@ -161,6 +161,20 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return df.mapInArrow(predict, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text the model doesn't reject."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            found = [m.predict(x.as_py()) for x in column(batch, "text")]
+            yield batch.filter(pa.array([lang != "und" and score >= m.threshold for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return identify(docs, fit(docs))

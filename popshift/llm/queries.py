@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from popshift.llm import bpe, decontam, langid, media, simhash, urlfilter, warc
+from popshift.llm import bpe, decontam, html_extract, langid, license_scan, media, simhash, suffix_dedup, urlfilter, warc
 
 QUERIES = {
+    "op1_html_extraction": html_extract.op1_html_extraction,
     "op2_warc": warc.op2_warc,
     "op3_language_id": langid.op3_language_id,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_media_columns": media.op5_media_columns,
     "op6_bpe": bpe.op6_bpe,
+    "op7_license_scan": license_scan.op7_license_scan,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_url_filters": urlfilter.op9_url_filters,
     "op10_benchmark_decontamination": decontam.op10_benchmark_decontamination,
 }

@@ -270,5 +270,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns as they are, without those that follow another document of their component.
+
+    Of rows that repeat a doc_id and its text one stays; rows without a doc_id stay.
+    """
+    found = near_duplicates(docs)
+    gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "simhash-gone")
+    out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeats = staged(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "simhash-repeats")
+    if not repeats.isEmpty():
+        once = out.join(repeats, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        out = out.join(repeats, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    return out
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
