@@ -4,7 +4,7 @@ Writing: each page becomes an HTTP response in chunked transfer framing, in a `r
 least min_dedup bytes are kept once, in the record of the largest page_id, and the others are `revisit` records that
 refer to it. A block of over SEGMENT bytes is cut into a first segment and `continuation` records that carry the
 origin's identifier, their segment number, and in the last one the total length. Spark's text writer ends each record
-with the two line ends that the format asks for, so the files are plain WARC 1.1.
+with the two line ends that the format asks for, so the files are WARC 1.1, gzipped.
 
 Reading: files are parsed by their length fields. Segments meet by origin identifier, are ordered by number and joined,
 the total length is verified and the chunked framing decoded; the payload's SHA-1 is compared with the record's digest.
@@ -17,6 +17,7 @@ length, framing or digest is wrong raises ValueError.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -132,7 +133,7 @@ def write(pages: DataFrame, path: str, min_dedup: int = 0, segment: int = SEGMEN
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     text = df.mapInArrow(build, "record binary").select(F.col("record").cast("string").alias("value"))
-    text.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    text.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 _FIELD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
@@ -195,7 +196,7 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for data in column(batch, "content"):
                 rows, segments = [], []
-                for f, block in parse(data.as_py()):
+                for f, block in parse(gzip.decompress(data.as_py())):
                     kind, page = f["warc-type"], f.get("warc-page-id")
                     if kind == "revisit":
                         size = int(re.search(rb"(?i)content-length: *(\d+)", block)[1])
