@@ -30,10 +30,19 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read back: cuts lineage and survives lost executors."""
+    """df, written once as Parquet in the shared folder and read back: cuts lineage and survives lost executors.
+
+    Once it is written its shuffle files are of no more use, so Spark is told to delete them with the execution.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

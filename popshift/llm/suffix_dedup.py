@@ -18,7 +18,6 @@ its own spans (told apart by 16 bits of the text's hash).
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -195,12 +194,6 @@ def _sort_shard(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from ranges(pa.Table.from_batches(held).combine_chunks())
 
 
-def _release(spark: SparkSession) -> None:
-    """Shuffle files of steps that are done go when their plans are collected; on a full disk that shouldn't wait."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def covered(docs: DataFrame) -> DataFrame:
     """Ranges (doc, tag, start, size) of bytes that windows of documents with smaller ids cover; ranges may overlap."""
     spark = docs.sparkSession
@@ -218,14 +211,11 @@ def covered(docs: DataFrame) -> DataFrame:
         F.when(F.col("n") >= WINDOW, F.col("n")).otherwise(F.col("n") - 1 + WINDOW).alias("size"), F.when(~known, F.col("h")).alias("h"), (F.col("crowd") > CROWD).alias("crowded"),
     )
     met = staged(met, "suffix-regions")
-    del found
-    _release(spark)
     open_ = met.where("h is not null").groupBy("doc", "tag").agg(F.collect_list(F.struct("h", F.col("start").alias("first"), (F.col("size") + 1 - WINDOW).alias("n"), "crowded")).alias("_asked"))
     texts = tagged.join(open_, (tagged["doc_id"] == open_["doc"]) & (tagged["_tag"] == open_["tag"])).select(F.col("doc_id").cast("long").alias("doc_id"), "_tag", "_b", "_asked")
     cut = texts.mapInArrow(_cut_out, "key long, doc long, tag long, first long, bytes binary")
     shards = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shard, "doc long, tag long, start long, size long")
     sorted_ = staged(shards, "suffix-sorted")
-    _release(spark)
     return met.where("h is null").select("doc", "tag", "start", "size").unionByName(sorted_)
 
 
