@@ -192,3 +192,19 @@ def drift_overall(spark, sf_dir):
 @query("missing_view", f"WITH {POP_SQL}, {PROFILE_SQL} SELECT side, name, round_even(100 - completeness_pct, 2) AS missing_pct FROM prof")
 def missing_view(spark, sf_dir):
     return _profile(spark, sf_dir).select("side", "name", F.bround(100 - F.col("completeness_pct"), 2).alias("missing_pct"))
+
+
+_ROLE_COLUMNS = ["y", "s", "w", *FEATURES, *CATEGORICAL, "period", "shap_quantity", "shap_discount", "shap_segment"]
+
+
+@query(
+    "column_roles",
+    f"""WITH {POP_SQL}, d AS (SELECT * FROM pop WHERE side = 0), st AS ({" UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n, count({c}) AS n_valid, count(DISTINCT {c}) AS card FROM d" for c in _ROLE_COLUMNS)})
+SELECT name, n_valid, card, CASE WHEN name = 'y' THEN 'target' WHEN name = 's' THEN 'score' WHEN name = 'w' THEN 'weight' WHEN name = 'period' THEN 'time' WHEN name LIKE 'shap%' THEN 'shap' WHEN name IN ({", ".join(f"'{c}'" for c in CATEGORICAL)}) OR card <= 20 THEN 'categorical' ELSE 'numeric' END AS role FROM st""",
+)
+def column_roles(spark, sf_dir):
+    from popshift.operators import roles
+
+    dev = population(spark, sf_dir).where("side = 0").select(*_ROLE_COLUMNS)
+    found = spark.createDataFrame([(k, v[0]) for k, v in roles.detect(dev).items()], "name string, role string")
+    return roles.column_stats(dev).join(F.broadcast(found), "name").select("name", "n_valid", "card", "role")
