@@ -5,7 +5,7 @@ enough: scanning buckets upward induces the L suffixes, scanning them downward t
 suffix positions that arrives in order, so the priority queue keyed by (first character, rank of the next suffix) is a row
 of queues; those over a memory budget are kept in anonymous files. LMS substrings are sorted by the same induction,
 named by their order, and the string of names is sorted in turn: by induction again while its alphabet is small, by
-doubling of name ranks otherwise.
+ranks of ever more names otherwise.
 """
 
 from __future__ import annotations
@@ -44,8 +44,9 @@ class Queue:
         self.file.seek(x[0])
         return np.fromfile(self.file, self.kind, x[1])
 
-    def all(self) -> np.ndarray:
-        parts = [self.read(i) for i in range(len(self.chunks))]
+    def since(self, k: int) -> np.ndarray:
+        """The positions of all chunks from the k-th on."""
+        parts = [self.read(i) for i in range(k, len(self.chunks))]
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, self.kind)
 
     def drop(self) -> None:
@@ -59,19 +60,20 @@ def _deal(queues: dict[int, Queue], positions: np.ndarray, chars: np.ndarray) ->
         return
     order = np.argsort(chars, kind="stable")
     chars, positions = chars[order], positions[order]
-    cuts = np.flatnonzero(np.diff(chars)) + 1
-    for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(chars)], strict=True):
-        queues[int(chars[a])].push(positions[a:b])
+    begins = [0, *(np.flatnonzero(chars[1:] != chars[:-1]) + 1).tolist(), len(chars)]
+    for c, a, b in zip(chars[begins[:-1]].tolist(), begins, begins[1:], strict=False):
+        queues[c].push(positions[a:b])
 
 
 def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, memory: int) -> np.ndarray:
     """All suffixes in order, from LMS suffixes in order (or LMS substrings from LMS positions by first character)."""
-    kind = np.dtype(np.int64)
+    kind = np.dtype(np.int32 if len(t) < 1 << 31 else np.int64)
+    lms = lms.astype(kind)
     letters = np.flatnonzero(np.bincount(t))
     budget = [memory]
     lower, upper, seeds = ({int(c): Queue(budget, kind) for c in letters} for _ in range(3))
     _deal(seeds, lms, t[lms])
-    last = np.array([len(t) - 1])
+    last = np.array([len(t) - 1], kind)
     if not is_s[last[0]]:
         lower[int(t[last[0]])].push(last)
 
@@ -81,27 +83,27 @@ def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, memory: int) -> np
         return j, t[j]
 
     for c in map(int, letters):
-        i = 0
-        while i < len(lower[c].chunks):  # rounds: a chunk may induce more of its own bucket
-            j, chars = before(lower[c].read(i), False)
+        done = 0
+        while done < (there := len(lower[c].chunks)):  # rounds: what is there may induce more of its own bucket
+            j, chars = before(lower[c].since(done), False)
+            done = there
             _deal(lower, j, chars)
-            i += 1
         if seeds[c].chunks:
-            j, chars = before(seeds[c].all(), False)
+            j, chars = before(seeds[c].since(0), False)
             _deal(lower, j, chars)
             seeds[c].drop()
     out: list[np.ndarray] = []
     for c in map(int, letters[::-1]):
-        i = 0
-        while i < len(upper[c].chunks):
-            j, chars = before(upper[c].read(i), True)
+        done = 0
+        while done < (there := len(upper[c].chunks)):
+            j, chars = before(upper[c].since(done), True)
+            done = there
             _deal(upper, j, chars)
-            i += 1
-        larger = lower[c].all()[::-1]
+        larger = lower[c].since(0)[::-1]
         if len(larger):
             j, chars = before(larger, True)
             _deal(upper, j, chars)
-        out += [upper[c].all(), larger]
+        out += [upper[c].since(0), larger]
         lower[c].drop(), upper[c].drop()
     return np.concatenate(out)[::-1]
 
@@ -136,24 +138,30 @@ def _names(t: np.ndarray, is_s: np.ndarray, ordered: np.ndarray, lms: np.ndarray
     return names
 
 
-def _doubled(t: np.ndarray) -> np.ndarray:
-    """Suffix order by ranks of twice as many characters each time."""
+def _ranked(t: np.ndarray, enough: int) -> np.ndarray:
+    """Suffix order by ranks of three times (or twice) as many characters each round, as far as `enough` characters."""
     rank, step = np.unique(t, return_inverse=True)[1].astype(np.int64), 1
-    while True:
-        after = np.zeros(len(t), np.int64)
-        after[:-step] = rank[step:] + 1
-        key = rank * (len(t) + 2) + after
+    order = np.argsort(rank, kind="stable")
+    while rank[order[-1]] < len(t) - 1 and step < enough:
+        width = int(rank[order[-1]] + 2).bit_length()
+        key = rank + 1
+        parts = 3 if 3 * width < 64 else 2
+        for k in range(1, parts):
+            key <<= width
+            key[: -k * step] += rank[k * step :] + 1
         order = np.argsort(key, kind="stable")
         ordered = key[order]
         rank = np.empty(len(t), np.int64)
         rank[order] = np.r_[0, np.cumsum(ordered[1:] != ordered[:-1])]
-        if rank[order[-1]] == len(t) - 1 or step >= len(t):
-            return order
-        step *= 2
+        step *= parts
+    return order
 
 
-def suffix_array(t: np.ndarray, memory: int = IN_MEMORY) -> np.ndarray:
-    """Positions of all suffixes of t (non-negative integers) in order; a suffix that is a prefix of another comes first."""
+def suffix_array(t: np.ndarray, memory: int = IN_MEMORY, depth: int | None = None) -> np.ndarray:
+    """Positions of all suffixes of t (non-negative integers) in order; a suffix that is a prefix of another comes first.
+
+    With depth, suffixes that agree on their first depth characters may be in any order.
+    """
     t = np.asarray(t)
     if len(t) < 2:
         return np.arange(len(t))
@@ -168,9 +176,9 @@ def suffix_array(t: np.ndarray, memory: int = IN_MEMORY) -> np.ndarray:
     if names.max() + 1 == len(lms):
         order = np.argsort(names, kind="stable")
     elif names.max() < ALPHABET:
-        order = suffix_array(names, memory)
+        order = suffix_array(names, memory, depth)
     else:
-        order = _doubled(names)
+        order = _ranked(names, depth // 2 + 2 if depth else len(names))  # each name stands for two characters at least
     return _induce(t, is_s, lms[order], memory)
 
 
@@ -181,18 +189,21 @@ def equal_windows(texts: list[bytes], window: int, memory: int = IN_MEMORY) -> t
     t = joined.astype(np.int16) + 1
     begins = np.cumsum(sizes + 1) - sizes - 1
     t[begins + sizes] = 0
-    order = suffix_array(t, memory)
-    of = np.searchsorted(begins, order, "right") - 1
+    order = suffix_array(t, memory, window)
+    of = np.repeat(np.arange(len(texts)), sizes + 1)[order]
     offset = order - begins[of]
     fits = offset + window <= sizes[of]
     order, of, offset = order[fits], of[fits], offset[fits]
     if not len(order):
         return of, offset, of
-    # Common prefixes of neighbours, as far as it matters: do they share a whole window?
-    share = np.ones(len(order) - 1, bool)
-    left = np.arange(len(share))
-    for step in range(window):
-        left = left[joined[order[left] + step] == joined[order[left + 1] + step]]
-    share[:] = False
+    # Common prefixes of neighbours, as far as it matters: do they share a whole window? Eight bytes at a time.
+    words = np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,))
+    left = np.arange(len(order) - 1)
+    for step in [*range(0, window - 8, 8), window - 8] if window >= 8 else []:
+        left = left[words[order[left] + step] == words[order[left + 1] + step]]
+    if window < 8:
+        for step in range(window):
+            left = left[joined[order[left] + step] == joined[order[left + 1] + step]]
+    share = np.zeros(len(order) - 1, bool)
     share[left] = True
     return of, offset, np.r_[0, np.cumsum(~share)]
