@@ -204,9 +204,9 @@ def _masks() -> tuple[list[int], list[list[int]]]:
     for i, j in combinations(range(len(GROUPS)), 2):
         mask = group[i] | group[j]
         other = [b for b in range(64) if not mask >> b & 1]
-        sixths = [sum(1 << b for b in part) for part in np.array_split(other, 6)]
+        sixths = [sum(1 << int(b) for b in part) for part in np.array_split(other, 6)]
         pairs.append(signed(mask))
-        finer.append([signed(a | b | c) for a, b, c in combinations(map(int, sixths), 3)])
+        finer.append([signed(a | b | c) for a, b, c in combinations(sixths, 3)])
     return pairs, finer
 
 
