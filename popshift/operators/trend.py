@@ -92,6 +92,6 @@ def forecast(series: DataFrame, cfg: TrendConfig = TrendConfig()) -> DataFrame:
     out = F.ceil(F.bround((cfg.alert - c("intercept")) / c("slope") - c("last"), 6))
     breach = F.when((c("slope") > 0) & (c("current") < cfg.alert), F.when((out > 0) & (out <= cfg.horizon), out))
     return g.select(
-        *KEYS, c("n").alias("periods_used"), c("last_period").alias("last_appeared_period"), F.bround("current", 4).alias("current_root_cause_score"), F.bround("predicted", 4).alias("predicted_next_root_cause_score"), F.bround(clip(c("predicted") - c("margin")), 4).alias("predicted_next_lower95"), F.bround(clip(c("predicted") + c("margin")), 4).alias("predicted_next_upper95"),
+        *KEYS, c("n").alias("periods_used"), c("last_period").alias("last_appeared_period"), F.bround("current", 4).alias("current_root_cause_score"), F.bround("predicted", 4).alias("predicted_next_root_cause_score"), F.when(c("margin").isNotNull(), F.bround(clip(c("predicted") - c("margin")), 4)).alias("predicted_next_lower95"), F.when(c("margin").isNotNull(), F.bround(clip(c("predicted") + c("margin")), 4)).alias("predicted_next_upper95"),
         F.bround("slope", 5).alias("trend_slope"), F.when(dof > 0, F.bround("r2", 4)).alias("r_squared"), F.bround("p", 4).alias("trend_p_value"), breach.cast("int").alias("months_to_breach"), F.when(c("n") == 2, "Low (2 points)").otherwise("Medium (3+ points)").alias("confidence"), breach.isNotNull().alias("early_warning"),
     )
