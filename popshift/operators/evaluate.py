@@ -92,13 +92,20 @@ def score_histogram(m: DataFrame, roles: Roles, key: str = "cand_id") -> DataFra
     return m.groupBy(key, F.col(roles.score).alias("s")).agg(on(0, y).alias("b0"), on(0, 1 - y).alias("g0"), on(1, y).alias("b1"), on(1, 1 - y).alias("g1"), on(0, w).alias("w0"), on(1, w).alias("w1"))
 
 
+#: Cells of a unit of score.
+CELLS = 1024
+
+
 def performance(hist: DataFrame, key: str = "cand_id") -> DataFrame:
     """Counts, AUC (ties count half), KS at the ends of tie blocks, and the two-sample distance of the scores."""
-    up = Window.partitionBy(key).orderBy("s")
-    every = Window.partitionBy(key)
-    h = hist
-    for c in ("b0", "g0", "b1", "g1"):
-        h = h.withColumns({f"c{c}": F.sum(c).over(up), f"t{c}": F.sum(c).over(every)})
+    # Cumulated in two steps, so no task holds all scores of a candidate: within cells of the score's range, and over cells.
+    names = ("b0", "g0", "b1", "g1")
+    h = hist.withColumn("cell", F.floor(F.col("s") * CELLS))
+    cells = h.groupBy(key, "cell").agg(*[F.sum(x).alias(f"p{x}") for x in names])
+    over, below = Window.partitionBy(key), Window.partitionBy(key).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(key, "cell", *[F.coalesce(F.sum(f"p{x}").over(below), F.lit(0)).alias(f"p{x}") for x in names], *[F.sum(f"p{x}").over(over).alias(f"t{x}") for x in names])
+    up = Window.partitionBy(key, "cell").orderBy("s")
+    h = h.join(cells, [key, "cell"]).withColumns({f"c{x}": F.col(f"p{x}") + F.sum(x).over(up) for x in names})
     gap = lambda i: F.max(F.abs(F.col(f"cb{i}") / F.col(f"tb{i}") - F.col(f"cg{i}") / F.col(f"tg{i}")))
     auc = lambda i: F.sum(F.col(f"b{i}") * (F.col(f"cg{i}") - F.col(f"g{i}") / 2)) / (F.max(f"tb{i}") * F.max(f"tg{i}"))
     # A ratio with an empty class is null, not an error.

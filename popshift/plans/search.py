@@ -141,3 +141,30 @@ def supervised_bins(spark, sf_dir):
 @query("feature_binning")
 def feature_binning(spark, sf_dir):
     return gen.feature_binning(population(spark, sf_dir), ROLES, CFG).select("technique", "segment_definition", "n_dev", "n_mon", "psi", "delta_br", "delta_gini", "delta_ece", "auc_p_adj", "br_p_adj", "deterioration_score", "final_score", "rank")
+
+
+@query("calibration_shift")
+def calibration_shift(spark, sf_dir):
+    """Logistic calibration of the score by segment, on both sides."""
+    from popshift.operators import calibration
+
+    return rounded(calibration.calibration_shift(population(spark, sf_dir), ROLES, "c_mktsegment"), 5)
+
+
+@query("technique_benchmark")
+def technique_benchmark(spark, sf_dir):
+    """Two techniques over one comparison, compared."""
+    from popshift.operators import runner
+
+    return runner.benchmark(population(spark, sf_dir), ROLES, replace(CFG, max_combo_depth=1), ["AutoSlicer", "Drift Tree"])["comparison"]
+
+
+@query("shap_detail", f"""WITH {POP_SQL}, m AS (SELECT c_mktsegment AS segment, side, shap_quantity, shap_discount, shap_segment FROM pop), u AS (SELECT segment, side, 'shap_quantity' AS name, shap_quantity AS v FROM m UNION ALL SELECT segment, side, 'shap_discount', shap_discount FROM m UNION ALL SELECT segment, side, 'shap_segment', shap_segment FROM m)
+SELECT segment, name, round(avg(v) FILTER (WHERE side = 1) - avg(v) FILTER (WHERE side = 0), 6) AS delta FROM u GROUP BY ALL""")
+def shap_detail(spark, sf_dir):
+    """Attribution shift by segment."""
+    from popshift.sources.population import SHAP
+
+    m = population(spark, sf_dir).withColumn("cand_id", c("c_mktsegment"))
+    d = ev.feature_drift(ev.value_counts(m, ev.Roles(shap=tuple(SHAP))))
+    return rounded(d.select(c("cand_id").alias("segment"), "name", "delta"))

@@ -334,3 +334,35 @@ def test_sources(spark, tmp_path):
 
 def test_every_sql_twin_has_a_query():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_calibration_finds_the_curve(spark):
+    from popshift.operators import calibration
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for side, a, b in ((0, -1.0, 2.0), (1, -0.5, 3.0)):
+        s = np.round(rng.random(6000), 3)
+        y = rng.random(6000) < 1 / (1 + np.exp(-(a + b * s)))
+        rows += [(side, int(k), float(v), "g") for k, v in zip(y, s, strict=True)]
+    rows += [(side, 0, 0.5, "one class") for side in (0, 1)]
+    got = {r.seg: r for r in calibration.calibration_shift(spark.createDataFrame(rows, "side int, y int, s double, seg string"), ev.Roles(), "seg").collect()}
+    assert got["g"].dev_slope == pytest.approx(2.0, abs=0.35) and got["g"].mon_intercept == pytest.approx(-0.5, abs=0.2) and got["one class"].dev_intercept is None
+
+
+def test_technique_plug_in(spark, sf):
+    from popshift.operators import runner
+    from popshift.sources.population import population
+
+    class Broken(runner.Technique):
+        name = "Broken"
+
+        def run(self, df, roles, cfg):
+            raise ValueError("no")
+
+    runner.register(Broken())
+    cfg = gen.SearchConfig(tree_depth=1, min_leaf=0.2)
+    out = runner.benchmark(population(spark, sf), ev.Roles(numeric=("l_quantity", "p_size")), cfg, ["Drift Tree", "Broken"])
+    assert {r.technique: r.status[:6] for r in out["run_log"].collect()} == {"Drift Tree": "OK", "Broken": "FAILED"}
+    assert {r.technique for r in out["segments"].collect()} <= {"Drift Tree"}
+    del runner.TECHNIQUES["Broken"]
