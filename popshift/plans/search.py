@@ -18,6 +18,11 @@ ROLES = ev.Roles(numeric=("l_quantity", "p_size", "p_retailprice", "c_acctbal"),
 CFG = replace(gen.SearchConfig(), max_combo_depth=2, n_estimators=5, k_range=(2, 4), min_bin_pct=0.02, n_iter=20, bootstrap_top_n=10)
 
 
+def cached(spark, sf_dir) -> DataFrame:
+    """Generators run many jobs over the population: it is joined once and kept, in memory as far as it fits."""
+    return population(spark, sf_dir).persist()
+
+
 @query("membership_counts", f"WITH {POP_SQL}, {MEMBERS_SQL} SELECT seg AS segment_definition, side, count(*) AS n, CAST(sum(y) AS BIGINT) AS events FROM mem GROUP BY ALL")
 def membership_counts(spark, sf_dir):
     """One scan: each row is exploded to the candidates that it fits."""
@@ -113,34 +118,34 @@ def _shown(found: DataFrame) -> DataFrame:
 
 @query("autoslicer")
 def autoslicer(spark, sf_dir):
-    pop = population(spark, sf_dir)
+    pop = cached(spark, sf_dir)
     metrics, rules = gen.beam_search(pop, ROLES, CFG)
     return gen.top_segments(pop, metrics, rules, CFG).select("technique", "segment_definition", "n_dev", "n_mon", "psi", "delta_br", "delta_gini", "statistically_significant", "severity_score", "rank")
 
 
 @query("drift_tree")
 def drift_tree(spark, sf_dir):
-    return _shown(gen.drift_tree(population(spark, sf_dir), ROLES, CFG)[0])
+    return _shown(gen.drift_tree(cached(spark, sf_dir), ROLES, CFG)[0])
 
 
 @query("gradient_boosting")
 def gradient_boosting(spark, sf_dir):
-    return _shown(gen.boosting(population(spark, sf_dir), ROLES, CFG)[0])
+    return _shown(gen.boosting(cached(spark, sf_dir), ROLES, CFG)[0])
 
 
 @query("kmeans_clusters")
 def kmeans_clusters(spark, sf_dir):
-    return gen.clusters(population(spark, sf_dir), ROLES, CFG)[0].select("technique", "segment_definition", "n_dev", "n_mon", "psi", "delta_br", "delta_gini", "rule_precision", "rule_recall")
+    return gen.clusters(cached(spark, sf_dir), ROLES, CFG)[0].select("technique", "segment_definition", "n_dev", "n_mon", "psi", "delta_br", "delta_gini", "rule_precision", "rule_recall")
 
 
 @query("supervised_bins")
 def supervised_bins(spark, sf_dir):
-    return rl.rule_table(spark, gen.supervised_rules(population(spark, sf_dir), ROLES, CFG)).drop("where_text")
+    return rl.rule_table(spark, gen.supervised_rules(cached(spark, sf_dir), ROLES, CFG)).drop("where_text")
 
 
 @query("feature_binning")
 def feature_binning(spark, sf_dir):
-    return gen.feature_binning(population(spark, sf_dir), ROLES, CFG).select("technique", "segment_definition", "n_dev", "n_mon", "psi", "delta_br", "delta_gini", "delta_ece", "auc_p_adj", "br_p_adj", "deterioration_score", "final_score", "rank")
+    return gen.feature_binning(cached(spark, sf_dir), ROLES, CFG).select("technique", "segment_definition", "n_dev", "n_mon", "psi", "delta_br", "delta_gini", "delta_ece", "auc_p_adj", "br_p_adj", "deterioration_score", "final_score", "rank")
 
 
 @query("calibration_shift")
@@ -156,7 +161,7 @@ def technique_benchmark(spark, sf_dir):
     """Two techniques over one comparison, compared."""
     from popshift.operators import runner
 
-    return runner.benchmark(population(spark, sf_dir), ROLES, replace(CFG, max_combo_depth=1), ["AutoSlicer", "Drift Tree"])["comparison"]
+    return runner.benchmark(cached(spark, sf_dir), ROLES, replace(CFG, max_combo_depth=1), ["AutoSlicer", "Drift Tree"])["comparison"]
 
 
 @query("shap_detail", f"""WITH {POP_SQL}, m AS (SELECT c_mktsegment AS segment, side, shap_quantity, shap_discount, shap_segment FROM pop), u AS (SELECT segment, side, 'shap_quantity' AS name, shap_quantity AS v FROM m UNION ALL SELECT segment, side, 'shap_discount', shap_discount FROM m UNION ALL SELECT segment, side, 'shap_segment', shap_segment FROM m)

@@ -57,7 +57,7 @@ BASE = f"WITH {POP_SQL}, {MEMBERS_SQL}, {EVALUATE_SQL}"
 
 
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pop = population(spark, sf_dir)
+    pop = population(spark, sf_dir).persist()  # edges, totals and two aggregates read it
     return ev.evaluate(pop, technique_rules(pop), ROLES, ev.Totals.of(pop, ROLES))
 
 
