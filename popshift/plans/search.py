@@ -116,8 +116,8 @@ def _shown(found: DataFrame) -> DataFrame:
     return scoring.ranked(scoring.score(found)).select("technique", "segment_definition", "n_dev", "n_mon", "psi", "delta_br", "delta_gini", "statistically_significant", "severity_score", "rank")
 
 
-@query("autoslicer")
-def autoslicer(spark, sf_dir):
+@query("beam_search")
+def beam_search(spark, sf_dir):
     pop = cached(spark, sf_dir)
     metrics, rules = gen.beam_search(pop, ROLES, CFG)
     return gen.top_segments(pop, metrics, rules, CFG).select("technique", "segment_definition", "n_dev", "n_mon", "psi", "delta_br", "delta_gini", "statistically_significant", "severity_score", "rank")
@@ -161,7 +161,7 @@ def technique_benchmark(spark, sf_dir):
     """Two techniques over one comparison, compared."""
     from popshift.operators import runner
 
-    return runner.benchmark(cached(spark, sf_dir), ROLES, replace(CFG, max_combo_depth=1), ["AutoSlicer", "Drift Tree"])["comparison"]
+    return runner.benchmark(cached(spark, sf_dir), ROLES, replace(CFG, max_combo_depth=1), ["Beam Search", "Drift Tree"])["comparison"]
 
 
 @query("shap_detail", f"""WITH {POP_SQL}, m AS (SELECT c_mktsegment AS segment, side, shap_quantity, shap_discount, shap_segment FROM pop), u AS (SELECT segment, side, 'shap_quantity' AS name, shap_quantity AS v FROM m UNION ALL SELECT segment, side, 'shap_discount', shap_discount FROM m UNION ALL SELECT segment, side, 'shap_segment', shap_segment FROM m)
