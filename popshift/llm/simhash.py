@@ -29,7 +29,8 @@ from popshift.llm.common import column, read, small_batches, staged, text_bytes
 SHINGLE, SEED, RADIUS = 3, 42, 3
 GROUPS = (13, 13, 13, 13, 12)
 BUCKET = 2048
-TASKS = 1 << 18
+#: Comparisons (row, word) that are counted together; surviving ones of which the pairs are given out together.
+TASKS, SURVIVORS = 1 << 18, 1 << 16
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -103,8 +104,8 @@ def close_pairs(fps: np.ndarray, starts: np.ndarray, radius: int = RADIUS) -> It
                     if not len(q):
                         break
         if len(q):
-            for i in range(0, len(q), 1 << 16):
-                near = np.unpackbits((~over[i : i + (1 << 16)]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            for i in range(0, len(q), SURVIVORS):
+                near = np.unpackbits((~over[i : i + SURVIVORS]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 t, l = np.nonzero(near)
                 a, b_ = q[i + t], word_starts[w[i + t]] + l
                 keep = b_ > a
@@ -120,19 +121,22 @@ def _start(n: int, radius: int) -> list[np.ndarray]:
 
 
 def spanning_links(nodes: np.ndarray, fps: np.ndarray, starts: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """For each row that isn't the first of its local component, a link to that first row."""
+    """For each row that isn't the first of its local component, a link to that first row.
+
+    label is flat, so a row's label is its root. Only roots are hooked, each to its smallest partner; its other ties stay as
+    pairs and are looked at again from the new roots.
+    """
     label = np.arange(len(fps))
     for a, b in close_pairs(fps, starts, radius):
         while True:
-            low = np.minimum(label[a], label[b])
-            if (label[a] == low).all() and (label[b] == low).all():
+            a, b = label[a], label[b]
+            apart = a != b
+            if not apart.any():
                 break
-            for x in (a, b):
-                np.minimum.at(label, label[x], low)
-                np.minimum.at(label, x, low)
-            label = label[label]
-    while not np.array_equal(label, label[label]):
-        label = label[label]
+            a, b = np.maximum(a[apart], b[apart]), np.minimum(a[apart], b[apart])
+            np.minimum.at(label, a, b)
+            while not np.array_equal(label, flat := label[label]):
+                label = flat
     moved = np.flatnonzero(label != np.arange(len(fps)))
     return nodes[moved], nodes[label[moved]]
 

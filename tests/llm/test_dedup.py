@@ -66,6 +66,31 @@ def test_simhash_equals_brute_force(make_docs, edge_rows, monkeypatch, bucket):
     assert collected(simhash.near_duplicates(make_docs(rows))) == brute_components(rows)
 
 
+def test_spanning_links_over_several_yields(monkeypatch):
+    """Ties of a root to several smaller ones, found at different times, all hold."""
+    def linked(fps, starts):
+        a, b = simhash.spanning_links(np.arange(len(fps)), fps, starts)
+        return dict(zip(a.tolist(), b.tolist(), strict=True))
+
+    with monkeypatch.context() as m:
+        m.setattr(simhash, "close_pairs", lambda *_: iter([(np.array([5]), np.array([9])), (np.array([1, 2]), np.array([5, 9]))]))
+        assert linked(np.zeros(10, np.uint64), np.array([0])) == {2: 1, 5: 1, 9: 1}
+    rng = np.random.default_rng(4)
+    for survivors in (1, 2, 1 << 16):
+        monkeypatch.setattr(simhash, "SURVIVORS", survivors)
+        for _ in range(20):
+            fps = np.unique(rng.integers(0, 1 << 14, 300, dtype=np.uint64) << np.uint64(9))
+            rng.shuffle(fps)
+            want = np.arange(len(fps))
+            near = np.array([[bin(int(x ^ y)).count("1") <= 2 for y in fps] for x in fps])
+            while not np.array_equal(want, now := np.array([want[row].min() for row in near])):
+                want = now
+            with monkeypatch.context() as m:
+                m.setattr(simhash, "close_pairs", lambda f, s, _, real=simhash.close_pairs: real(f, s, 2))
+                got = linked(fps, np.array([0]))
+            assert got == {i: int(w) for i, w in enumerate(want) if w != i}
+
+
 def test_simhash_empty_and_representatives(make_docs, edge_rows):
     assert simhash.near_duplicates(make_docs([])).collect() == []
     rows = [*edge_rows, *near_texts(60, 3)]
