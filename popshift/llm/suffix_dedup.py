@@ -8,8 +8,10 @@ document; a region that nothing else shares an anchor with has no match; of all
 shard of its anchor, which is sorted by external induced sorting (suffix_sort). There, windows that share their
 whole length are neighbours, and the smallest doc_id among them decides.
 
-Copies of a region are reduced to the first one within a task before they are shuffled, and an anchor that too many
-distinct regions share is dealt out by window instead, so no text's popularity fills a task.
+Copies of a region are reduced to the first one within a task before they are shuffled. An anchor that too many distinct
+regions share is dealt out by window instead, and a task first folds the windows it holds by their bytes: of equal ones
+only the first place in the smallest document goes to the sort. Places in larger documents are covered already; other
+places in the same document follow the one that was sent. So no text's popularity fills a task.
 
 Defined results: null and empty texts keep nothing and lose nothing; texts under WINDOW bytes are kept whole; rows without
 a doc_id neither cover nor lose bytes; rows that repeat a doc_id don't cover each other. If they differ in text, each loses
@@ -20,9 +22,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -32,8 +36,8 @@ from popshift.llm.suffix_sort import equal_windows
 WINDOW, GRAM = 50, 16
 #: Bytes of a text that are looked at together; anchors that a task reduces together; bytes that a shard sorts together.
 PIECE, REDUCED, SORTED = 1 << 22, 1 << 20, 1 << 22
-#: Distinct regions of one anchor beyond which it is dealt out by window.
-CROWD = 5_000
+#: Distinct regions of one anchor beyond which it is dealt out by window; windows that a task folds together.
+CROWD, FOLDED = 5_000, 1 << 17
 
 _POSITION = np.uint64((1 << 24) - 1)
 _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -134,28 +138,93 @@ def _find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from reduced()
 
 
+_CUT = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("first", pa.int64()), ("bytes", pa.binary()), ("size", pa.int64()), ("lead", pa.int64())])
+_FOUND = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("lead", pa.int64())])
+
+
+def _runs(doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows to ranges (doc, tag, start, size), joined where they meet."""
+    order = np.lexsort((start, tag, doc))
+    d, t, a = doc[order], tag[order], start[order]
+    at = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (a[1:] > a[:-1] + WINDOW)])
+    return d[at], t[at], a[at], np.maximum.reduceat(a, at) + WINDOW - a[at]
+
+
 def _cut_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, tag, bytes, asked) to a row for each region asked for: (key, doc, tag, first, bytes).
 
-    Regions of a crowded anchor come as their windows, keyed by what they hold.
+    Regions of a crowded anchor come as their windows, keyed by what they hold and folded. The rest of a fold has no bytes,
+    but a size: ranges that a smaller document covers, and ranges that share the fate of the window of their document that
+    begins at lead. For a window with bytes, lead is set if others follow it.
     """
-    names = ["key", "doc", "tag", "first", "bytes"]
+    rows: list[tuple] = []
+    folds: dict[bytes, tuple[int, list]] = {}  # window: smallest doc, places (tag, first) in it
+    over: list[tuple] = []
+    held = 0
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _CUT, strict=True)], schema=_CUT)
+
+    def ranges(places: list[tuple], lead: int | None = None) -> list[tuple]:
+        d, t, a, n = _runs(*np.array(places, np.int64).T)
+        keys = _mix(d.view(np.uint64) * np.uint64(31) + a.view(np.uint64)).view(np.int64)
+        return [(*x[:4], None, x[4], lead) for x in zip(keys.tolist(), d.tolist(), t.tolist(), a.tolist(), n.tolist(), strict=True)]
+
+    def folded() -> Iterator[pa.RecordBatch]:
+        out = ranges(over) if over else []
+        for text, (doc, places) in folds.items():
+            by_tag: dict[int, list] = {}  # rows that repeat a doc_id with another text lead their own
+            for tag, first in places:
+                by_tag.setdefault(tag, []).append((doc, tag, first))
+            key = xxhash.xxh64_intdigest(text) - (1 << 63)
+            for tag, own in by_tag.items():
+                first = own[0][2]
+                out.append((key, doc, tag, first, text, None, first if own[1:] else None))
+                if own[1:]:
+                    out += ranges(own[1:], first)
+            if len(out) >= 20_000:
+                yield batch_of(out)
+                out = []
+        if out:
+            yield batch_of(out)
+
     for batch in batches:
-        keys, docs, tags, firsts, texts = [], [], [], [], []
         for doc, tag, text, asked in zip(column(batch, "doc_id").to_pylist(), column(batch, "_tag").to_pylist(), column(batch, "_b").to_pylist(), column(batch, "_asked").to_pylist(), strict=True):
             for q in asked:
                 first, n = q["first"], q["n"]
-                pieces = [(xxhash.xxh64_intdigest(text[i : i + WINDOW]) - (1 << 63), i, 1) for i in range(first, first + n)] if q["crowded"] else [(q["h"], first, n)]
-                for key, i, m in pieces:
-                    keys.append(key), docs.append(doc), tags.append(tag), firsts.append(i), texts.append(text[i : i + m - 1 + WINDOW])
-                if len(keys) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), pa.array(firsts, pa.int64()), pa.array(texts, pa.binary())], names=names)
-                    keys, docs, tags, firsts, texts = [], [], [], [], []
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), pa.array(firsts, pa.int64()), pa.array(texts, pa.binary())], names=names)
+                if not q["crowded"]:
+                    rows.append((q["h"], doc, tag, first, text[first : first + n - 1 + WINDOW], None, None))
+                    if len(rows) >= 20_000:
+                        yield batch_of(rows)
+                        rows = []
+                    continue
+                for i in range(first, first + n):
+                    window = text[i : i + WINDOW]
+                    least, places = folds.get(window, (None, None))
+                    if least is None or doc < least:
+                        if least is not None:
+                            over.extend((least, t, j) for t, j in places)
+                        folds[window] = doc, [(tag, i)]
+                    elif doc == least:
+                        places.append((tag, i))
+                    else:
+                        over.append((doc, tag, i))
+                held += n
+                if held >= FOLDED:
+                    yield from folded()
+                    folds.clear(), over.clear()
+                    held = 0
+        if rows:
+            yield batch_of(rows)
+            rows = []
+    yield from folded()
 
 
 def _sort_shard(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _cut_out sorted by key to ranges (doc, tag, start, size) that a smaller doc_id covers."""
+    """Rows of _cut_out sorted by key to ranges (doc, tag, start, size) that a smaller doc_id covers.
+
+    With a lead, a range is covered if its leader is; a covered leader is a row of no size.
+    """
     held: list[pa.RecordBatch] = []
     size = 0
 
@@ -167,17 +236,22 @@ def _sort_shard(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begins = np.flatnonzero(np.r_[True, same[1:] != same[:-1]])
         smallest = np.minimum.reduceat(doc[text], begins)[same]
         gone = doc[text] > smallest
-        d, t, a = doc[text[gone]], tag[text[gone]], first[text[gone]] + offset[gone]
-        if not len(d):
+        if not gone.any():
             return
-        order = np.lexsort((a, t, d))
-        d, t, a = d[order], t[order], a[order]
-        new = np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (a[1:] > a[:-1] + WINDOW)]
-        at = np.flatnonzero(new)
-        stop = np.maximum.reduceat(a, at) + WINDOW
-        yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(t[at]), pa.array(a[at]), pa.array(stop - a[at])], names=["doc", "tag", "start", "size"])
+        of = text[gone]
+        runs = _runs(doc[of], tag[of], first[of] + offset[gone])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, runs), pa.nulls(len(runs[0]), pa.int64())], schema=_FOUND)
+        of = np.unique(of)
+        of = of[rows.column("lead").is_valid().to_numpy()[of]]
+        if len(of):
+            yield pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(tag[of]), pa.array(first[of]), pa.array(np.zeros(len(of), np.int64)), pa.array(first[of])], schema=_FOUND)
 
     for batch in batches:
+        settled = column(batch, "size").is_valid()
+        rest = batch.filter(settled)
+        if rest.num_rows:
+            yield pa.RecordBatch.from_arrays([column(rest, x) for x in ("doc", "tag", "first", "size", "lead")], schema=_FOUND)
+            batch = batch.filter(pc.invert(settled))
         if not batch.num_rows:
             continue
         held.append(batch)
@@ -213,10 +287,13 @@ def covered(docs: DataFrame) -> DataFrame:
     met = staged(met, "suffix-regions")
     open_ = met.where("h is not null").groupBy("doc", "tag").agg(F.collect_list(F.struct("h", F.col("start").alias("first"), (F.col("size") + 1 - WINDOW).alias("n"), "crowded")).alias("_asked"))
     texts = tagged.join(open_, (tagged["doc_id"] == open_["doc"]) & (tagged["_tag"] == open_["tag"])).select(F.col("doc_id").cast("long").alias("doc_id"), "_tag", "_b", "_asked")
-    cut = texts.mapInArrow(_cut_out, "key long, doc long, tag long, first long, bytes binary")
-    shards = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shard, "doc long, tag long, start long, size long")
+    cut = texts.mapInArrow(_cut_out, "key long, doc long, tag long, first long, bytes binary, size long, lead long")
+    shards = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shard, "doc long, tag long, start long, size long, lead long")
     sorted_ = staged(shards, "suffix-sorted")
-    return met.where("h is null").select("doc", "tag", "start", "size").unionByName(sorted_)
+    leaders = sorted_.where("size = 0").select("doc", "tag", "lead")
+    following = sorted_.where("size > 0 and lead is not null").join(leaders, ["doc", "tag", "lead"], "left_semi")
+    parts = [met.where("h is null"), sorted_.where("lead is null"), following]
+    return reduce(DataFrame.unionByName, [x.select("doc", "tag", "start", "size") for x in parts])
 
 
 def _with_ranges(tagged: DataFrame, docs: DataFrame) -> DataFrame:

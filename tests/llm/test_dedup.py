@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -184,6 +185,31 @@ def test_suffix_dedup_equals_brute_force(make_docs, edge_rows, monkeypatch, crow
     assert got == brute_suffix([(d, (t or "").encode()) for d, t in rows])
 
 
+def test_crowded_windows_are_folded_before_the_sort():
+    """A passage with other bytes around it in each document, and a text of one character: a row a window and task goes to the sort."""
+    rng = random.Random(5)
+    passage = "".join(rng.choices("abcdefgh", k=90)).encode()
+    texts = [bytes(rng.choices(range(65, 90), k=20)) + passage + bytes(rng.choices(range(65, 90), k=20)) for _ in range(500)] + [b"z" * 5000]
+    asked = [[{"h": 1, "first": 0, "n": len(t) - 49, "crowded": True}] for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts, pa.binary()), pa.array(asked)], names=["doc_id", "_tag", "_b", "_asked"])
+    out = pa.Table.from_batches(suffix_dedup._cut_out([batch])).to_pylist()
+    sent = Counter(r["bytes"] for r in out if r["bytes"] is not None)
+    assert max(sent.values()) == 1 and set(sent) == {t[i : i + 50] for t in texts for i in range(len(t) - 49)}
+    assert sum(r["bytes"] is None for r in out) <= 500  # at most a range for each document
+
+
+@pytest.mark.parametrize("folded", [1, 40, 1 << 17])
+def test_folded_windows_equal_brute_force(make_docs, monkeypatch, folded):
+    """Windows that recur within a document (close by and far apart) follow the one that was sent, whichever task decides."""
+    monkeypatch.setattr(suffix_dedup, "CROWD", 1)
+    monkeypatch.setattr(suffix_dedup, "FOLDED", folded)
+    line = "".join(random.Random(6).choices("abcdefgh ", k=83)) + "\n"
+    rows = [(9, line * 6 + "y" * 120), (3, "x" + line * 4), (7, "y" * 90 + line + "q" * 70 + line), (1, line[10:75] + "end"), (8, "end" + line * 3 + "y" * 60), *passages(2)]
+    rows = list({d: (d, t) for d, t in rows}.values())
+    got = sorted(map(tuple, suffix_dedup.dedup(make_docs(rows)).collect()))
+    assert got == brute_suffix([(d, t.encode()) for d, t in rows])
+
+
 def test_suffix_dedup_table(make_docs, edge_rows):
     rows = [*edge_rows[:7], *passages(2)]
     docs = make_docs(rows)
