@@ -13,9 +13,8 @@ from popshift.plans.segments import MEMBERS_SQL, technique_rules
 from popshift.sources.population import CATEGORICAL, LOW_CARD, NUMERIC, POP_SQL, population
 
 c = F.col
-ROLES = ev.Roles(numeric=("l_quantity", "p_size", "p_retailprice", "c_acctbal"), categorical=("c_mktsegment", "o_orderpriority"))
-#: Modest settings: the generators' defaults search much wider.
-CFG = replace(gen.SearchConfig(), max_combo_depth=2, n_estimators=5, k_range=(2, 4), min_bin_pct=0.02, n_iter=20, bootstrap_top_n=10)
+ROLES = ev.Roles(numeric=tuple(NUMERIC), categorical=(*CATEGORICAL, *LOW_CARD))
+CFG = gen.SearchConfig()
 
 
 def cached(spark, sf_dir) -> DataFrame:
@@ -145,7 +144,7 @@ def supervised_bins(spark, sf_dir):
 
 @query("feature_binning")
 def feature_binning(spark, sf_dir):
-    return gen.feature_binning(cached(spark, sf_dir), ROLES, CFG).select("technique", "segment_definition", "n_dev", "n_mon", "psi", "delta_br", "delta_gini", "delta_ece", "auc_p_adj", "br_p_adj", "deterioration_score", "final_score", "rank")
+    return gen.feature_binning(cached(spark, sf_dir), ROLES, replace(CFG, top_n=20)).select("technique", "segment_definition", "n_dev", "n_mon", "psi", "delta_br", "delta_gini", "delta_ece", "auc_p_adj", "br_p_adj", "deterioration_score", "final_score", "rank")
 
 
 @query("calibration_shift")

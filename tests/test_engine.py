@@ -289,6 +289,14 @@ def test_planted_drift_is_found(spark, sf):
     assert gen.top_segments(pop, metrics, found, cfg).orderBy("rank").first().segment_definition == "c_mktsegment = BUILDING"
 
 
+def test_searches_are_registered_with_full_settings():
+    from popshift.plans import search
+    from popshift.sources import population as p
+
+    assert gen.SearchConfig() == search.CFG
+    assert {*search.ROLES.numeric, *search.ROLES.categorical} == {*p.NUMERIC, *p.LOW_CARD, *p.CATEGORICAL}
+
+
 def test_adjusted_rand_and_quality(spark):
     df = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (1, 0)], "a int, b int")
     assert gen.adjusted_rand(df, F.col("a"), F.col("b")) == 1.0 and gen.adjusted_rand(df, F.col("a"), F.col("a") % 1) == 0.0
