@@ -144,7 +144,7 @@ def supervised_bins(spark, sf_dir):
 
 @query("feature_binning")
 def feature_binning(spark, sf_dir):
-    return gen.feature_binning(cached(spark, sf_dir), ROLES, replace(CFG, top_n=20)).select("technique", "segment_definition", "n_dev", "n_mon", "psi", "delta_br", "delta_gini", "delta_ece", "auc_p_adj", "br_p_adj", "deterioration_score", "final_score", "rank")
+    return gen.feature_binning(cached(spark, sf_dir), ROLES, replace(CFG, top_n=20)).select("technique", "segment_definition", "n_dev", "n_mon", "psi", "delta_br", "delta_gini", "delta_ece", "auc_p_adj", "ks_p_adj", "br_p_adj", "ece_p_adj", "min_p_adj", "significant", "deterioration_score", "final_score", "rank")
 
 
 @query("calibration_shift")

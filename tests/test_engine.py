@@ -297,6 +297,15 @@ def test_searches_are_registered_with_full_settings():
     assert {*search.ROLES.numeric, *search.ROLES.categorical} == {*p.NUMERIC, *p.LOW_CARD, *p.CATEGORICAL}
 
 
+def test_binning_finds_a_change_of_calibration_alone(spark):
+    """Monitoring scores are higher by a constant: order, bad rate and KS stay."""
+    rows = [(side, int((i * 37) % 100 < i % 100), (i % 100) / 200 + 0.25 * side, 1.0, g) for side in (0, 1) for g in "abcd" for i in range(300)]
+    df = spark.createDataFrame(rows, "side int, y int, s double, w double, g string")
+    roles = ev.Roles(categorical=("g",))
+    got = gen.feature_binning(df, roles, gen.SearchConfig(n_iter=40)).collect()
+    assert got and all(r.significant and r.ece_p_adj < 0.05 and r.auc_p_adj > 0.1 and r.br_p_adj > 0.1 and r.ks_p_adj > 0.1 for r in got)
+
+
 def test_adjusted_rand_and_quality(spark):
     df = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (1, 0)], "a int, b int")
     assert gen.adjusted_rand(df, F.col("a"), F.col("b")) == 1.0 and gen.adjusted_rand(df, F.col("a"), F.col("a") % 1) == 0.0
