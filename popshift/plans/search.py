@@ -157,10 +157,12 @@ def calibration_shift(spark, sf_dir):
 
 @query("technique_benchmark")
 def technique_benchmark(spark, sf_dir):
-    """Two techniques over one comparison, compared."""
+    """All techniques over one comparison, compared; a technique that failed has a row that says so."""
     from popshift.operators import runner
 
-    return runner.benchmark(cached(spark, sf_dir), ROLES, replace(CFG, max_combo_depth=1), ["Beam Search", "Drift Tree"])["comparison"]
+    out = runner.benchmark(cached(spark, sf_dir), ROLES, CFG)
+    log = out["run_log"].drop("seconds")
+    return log.join(out["comparison"], "technique", "left") if "comparison" in out else log
 
 
 @query("shap_detail", f"""WITH {POP_SQL}, m AS (SELECT c_mktsegment AS segment, side, shap_quantity, shap_discount, shap_segment FROM pop), u AS (SELECT segment, side, 'shap_quantity' AS name, shap_quantity AS v FROM m UNION ALL SELECT segment, side, 'shap_discount', shap_discount FROM m UNION ALL SELECT segment, side, 'shap_segment', shap_segment FROM m)

@@ -384,3 +384,19 @@ def test_technique_plug_in(spark, sf):
     assert {r.technique: r.status[:6] for r in out["run_log"].collect()} == {"Drift Tree": "OK", "Broken": "FAILED"}
     assert {r.technique for r in out["segments"].collect()} <= {"Drift Tree"}
     del runner.TECHNIQUES["Broken"]
+
+
+def test_benchmark_names_every_technique(spark, sf, monkeypatch):
+    from popshift.operators import runner
+    from popshift.plans import search
+
+    assert list(runner.TECHNIQUES) == ["Beam Search", "Drift Tree", "Gradient Boosting", "K-Means", "Feature Binning"]
+    late = runner._Function("Late", lambda df, roles, cfg: gen.drift_tree(df, roles, cfg)[0].withColumn("x", F.raise_error(F.lit("late"))))
+    monkeypatch.setattr(runner.scoring, "portfolio_view", lambda *_: None)
+    monkeypatch.setattr(runner, "TECHNIQUES", {"Late": late, **{k: runner.TECHNIQUES[k] for k in ("Drift Tree", "Feature Binning")}})
+    monkeypatch.setattr(search, "ROLES", ev.Roles(numeric=("l_quantity",), categorical=("c_mktsegment",)))
+    monkeypatch.setattr(search, "CFG", gen.SearchConfig(tree_depth=1, n_iter=2, bootstrap_top_n=2))
+    got = {r.technique: r for r in search.technique_benchmark(spark, sf).collect()}
+    assert set(got) == {"Late", "Drift Tree", "Feature Binning"}
+    assert got["Late"].status.startswith("FAILED") and got["Drift Tree"].status == got["Feature Binning"].status == "OK"
+    assert got["Late"].segments_generated is None and got["Feature Binning"].segments_generated > 0
