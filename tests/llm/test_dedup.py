@@ -121,26 +121,30 @@ def test_components_of_chains(spark):
     assert all(got[i] == 100 for i in range(101, 161)) and got[510] == got[520] == 500 and 7 not in got
 
 
-def test_suffix_array_equals_sorting():
+def test_suffixes_and_common_prefixes_equal_sorting():
+    """Whatever stays in memory: nothing, a little, all; the smaller budgets recurse, spill and map files."""
     rng = random.Random(3)
-    for _ in range(200):
+    for _ in range(150):
         t = np.array([rng.randint(0, rng.choice([1, 2, 3, 26])) for _ in range(rng.randint(1, 120))])
-        for memory in (0, 5, 1000):
-            assert suffix_sort.suffix_array(t, memory).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
-    t = np.array([rng.randint(0, 40) for _ in range(20_000)])
-    assert suffix_sort.suffix_array(t, 100).tolist() == sorted(range(len(t)), key=lambda i: t[i : i + 200].tolist())
-
-
-def test_equal_windows():
-    rng = random.Random(5)
-    for window in (3, 8, 11):
-        texts = [bytes(rng.choices(b"ab", k=rng.randint(0, 40))) for _ in range(30)]
-        of, offset, same = suffix_sort.equal_windows(texts, window)
-        got = {}
-        for a, b, c in zip(of.tolist(), offset.tolist(), same.tolist(), strict=True):
-            got.setdefault(c, set()).add(texts[a][b : b + window])
-        assert sum(max(0, len(t) - window + 1) for t in texts) == len(of)
-        assert all(len(v) == 1 for v in got.values()) and len({next(iter(v)) for v in got.values()}) == len(got)
+        want = sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        for mem in (suffix_sort.Memory(0, 0, 3, 2), suffix_sort.Memory(5, 64, 7, 10), suffix_sort.Memory()):
+            assert suffix_sort.suffix_array(t, mem).tolist() == want
+            for depth in (4, 200):
+                found = list(suffix_sort.suffixes(t, mem, depth))
+                order, shared = (np.concatenate(x).tolist() for x in zip(*found, strict=True))
+                assert sorted(order) == sorted(want) and [t[i : i + depth].tolist() for i in order] == [t[i : i + depth].tolist() for i in want[::-1]]
+                for a, b, n in zip(order, order[1:], shared[1:], strict=False):
+                    x, y = t[a : a + depth].tolist(), t[b : b + depth].tolist()
+                    assert n == next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+
+
+def test_a_shard_larger_than_memory_is_sorted_on_disk():
+    rng = np.random.default_rng(4)
+    t = np.concatenate([np.append(rng.integers(1, 5, 60), 0) for _ in range(1500)])
+    mem = suffix_sort.Memory(queues=1000, array=4096, block=2048, names=4000)
+    order = np.concatenate([p for p, _ in suffix_sort.suffixes(t, mem, 50)])
+    assert mem.spilled > len(t) and isinstance(mem.empty(5000, np.int32), np.memmap)
+    assert [t[i : i + 50].tolist() for i in order[::-1]] == sorted(t[i : i + 50].tolist() for i in range(len(t)))
 
 
 def brute_suffix(rows):
@@ -176,26 +180,70 @@ def passages(seed):
     return list({d: (d, t) for d, t in rows}.values())
 
 
-@pytest.mark.parametrize("crowd", [5000, 1])
-def test_suffix_dedup_equals_brute_force(make_docs, edge_rows, monkeypatch, crowd):
-    """With a crowd of one, every contested anchor is dealt out by window."""
+@pytest.mark.parametrize(("crowd", "hot"), [(100_000, 4096), (1, 4096), (100_000, 1 << 40)])
+def test_suffix_dedup_equals_brute_force(make_docs, edge_rows, monkeypatch, crowd, hot):
+    """With a crowd of one every contested anchor is dealt out by window; the last setting has many hot anchors, and small shards."""
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
-    rows = [*edge_rows[:7], (6, "lorem ipsum dolor sit amet " * 300), *passages(1), (2000, "z" * 200), (2001, "z" * 130), (2002, "ab" * 100), (2003, "b" + "ab" * 80)]
+    if hot != 4096:
+        monkeypatch.setattr(suffix_dedup, "hot_anchors", lambda texts: np.unique(np.concatenate([suffix_dedup.regions(np.frombuffer(r["_b"], np.uint8), np.zeros(1, np.int64), np.array([len(r["_b"])]), np.zeros(0, np.int64))[0] for r in texts.collect()]))[::2])
+        monkeypatch.setattr(suffix_dedup, "SORTED", 300)
+    rows = [*edge_rows[:7], (6, "lorem ipsum dolor sit amet " * 300), (6, "z" * 90), (6, "y" + "ab" * 90), *passages(1), (2000, "z" * 200), (2001, "z" * 130), (2002, "ab" * 100), (2003, "b" + "ab" * 80)]
     got = sorted((-1 if r[0] is None else r[0], *r[1:]) for r in map(tuple, suffix_dedup.dedup(make_docs(rows)).collect()))
     assert got == brute_suffix([(d, (t or "").encode()) for d, t in rows])
 
 
+def test_regions_do_not_depend_on_neighbours_or_pieces(monkeypatch):
+    """Texts hashed together give what each gives alone; windows that are equal have equal anchors at equal offsets."""
+    texts = [t.encode() for _, t in passages(2)] + [b"", b"short", b"z" * 120]
+    data, size = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    none = np.zeros(0, np.int64)
+    together = np.array(suffix_dedup.regions(data, np.cumsum(size) - size, size, none)).T.tolist()
+    alone = [[*r[:5], i] for i, t in enumerate(texts) for r in np.array(suffix_dedup.regions(np.frombuffer(t, np.uint8), np.zeros(1, np.int64), np.array([len(t)]), none)).T.tolist()]
+    assert together == alone and sum(r[3] for r in alone) == sum(max(0, len(t) - 49) for t in texts)
+    seen = {}
+    for h, _, first, n, offset, i in alone:
+        for k in range(n):
+            assert seen.setdefault(texts[i][first + k : first + k + 50], (h, offset - k)) == (h, offset - k)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 64)
+    pieces = suffix_dedup.regions(data, np.cumsum(size) - size, size, none)
+    assert sum(pieces[3]) == sum(r[3] for r in alone)
+    assert all(seen[texts[i][f + k : f + k + 50]] == (h, o - k) for h, _, f, n, o, i in np.array(pieces).T.tolist() for k in range(n))
+
+
+def test_hot_anchors_are_found_and_split(make_docs):
+    """A passage in every document with other bytes around it: its anchors are hot, and no key is in many rows."""
+    rng = random.Random(5)
+    passage = "".join(rng.choices("abcdefgh", k=90))
+    docs = make_docs([(i, "".join(rng.choices("ABCDEFGHIJ", k=60)) + passage + "".join(rng.choices("ABCDEFGHIJ", k=60))) for i in range(400)])
+    texts = suffix_dedup._tagged(suffix_dedup.text_bytes(docs, "doc_id"), None, "_b")
+    hot = suffix_dedup.hot_anchors(texts)
+    assert len(hot) >= 2
+    rows = pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*[(r["doc_id"], r["_tag"], bytes(r["_b"])) for r in texts.collect()], strict=True)], names=["doc_id", "_tag", "_b"])])
+    found = [r for b in suffix_dedup._find(rows.to_batches(), hot) for r in b.to_pylist() if not r["span"] & suffix_dedup.BYTES]
+    assert max(Counter(r["h"] for r in found).values()) <= 64  # hot is what more than 64 rows of the sample share
+
+
 def test_crowded_windows_are_folded_before_the_sort():
     """A passage with other bytes around it in each document, and a text of one character: a row a window and task goes to the sort."""
     rng = random.Random(5)
     passage = "".join(rng.choices("abcdefgh", k=90)).encode()
     texts = [bytes(rng.choices(range(65, 90), k=20)) + passage + bytes(rng.choices(range(65, 90), k=20)) for _ in range(500)] + [b"z" * 5000]
-    asked = [[{"h": 1, "first": 0, "n": len(t) - 49, "crowded": True}] for t in texts]
+    asked = [[{"c": 1, "first": 0, "n": len(t) - 49, "offset": 0, "crowded": True}] for t in texts]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts, pa.binary()), pa.array(asked)], names=["doc_id", "_tag", "_b", "_asked"])
     out = pa.Table.from_batches(suffix_dedup._cut_out([batch])).to_pylist()
     sent = Counter(r["bytes"] for r in out if r["bytes"] is not None)
     assert max(sent.values()) == 1 and set(sent) == {t[i : i + 50] for t in texts for i in range(len(t) - 49)}
-    assert sum(r["bytes"] is None for r in out) <= 500  # at most a range for each document
+    assert all(r["lead"] == 0 for r in out if r["bytes"] is None and r["doc"] == 500)
+
+
+def test_clashing_columns_survive_suffix_dedup(spark):
+    """Columns named like the operator's own come back untouched; so do null texts; an empty table stays empty."""
+    names = ["doc_id", "text", "_gone", "_row", "doc", "tag", "_tag", "_twin", "h", "n_chars"]
+    rows = [(i, ("x%d " % i) * 5 + "a passage that is long enough to be found in both of the documents" if i < 2 else None, 1, "r", 2, 3, 4, True, 5, 9) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone int, _row string, doc int, tag int, _tag int, _twin boolean, h int, n_chars long")
+    out = sorted(suffix_dedup.deduplicated(docs).collect())
+    assert [r[2:9] for r in out] == [(1, "r", 2, 3, 4, True, 5)] * 3 and out[0].text == rows[0][1] and out[1].text == "x1 " * 4 + "x1" and out[2].text is None
+    assert out[1].n_chars == len(out[1].text) and suffix_dedup.deduplicated(docs.limit(0)).collect() == [] and docs.columns == names
 
 
 @pytest.mark.parametrize("folded", [1, 40, 1 << 17])
