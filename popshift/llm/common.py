@@ -17,9 +17,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or our own where that is unset (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset, a folder of our own, on
+    one machine only: a cluster without a shared folder is an error, as nobody would read what executors write."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.popshift.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="popshift-")
         spark.conf.set("spark.popshift.dir", base)
     return base
@@ -46,9 +49,25 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows: a batch with very long texts still fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def discard(df: DataFrame) -> None:
+    """Deletes a staged table that nothing will read any more."""
+    jvm, files = df.sparkSession._jvm, df.inputFiles()
+    if files:
+        path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes of an Arrow batch, and its rows at most.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 10_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches are bounded by bytes, so that very long texts fit a Python worker, whatever their number of rows.
+
+    It holds for every operator here and is the same for all, so it doesn't matter which query of a session set it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def text_bytes(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:

@@ -22,9 +22,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from popshift.llm.common import column, read, small_batches, staged, text_bytes
+from popshift.llm.common import column, discard, read, small_batches, staged, text_bytes
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 GROUPS = (13, 13, 13, 13, 12)
@@ -245,6 +245,22 @@ def links(distinct: DataFrame) -> DataFrame:
     return found[0]
 
 
+#: Parts that a hub's links are dealt in.
+SALTS = 1024
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """edges (a, b) with m, the smallest b of their a.
+
+    A hub's links are reduced where they are, then by (a, part), and meet their minimum part by part: no task ever holds all of
+    them, and a node has at most SALTS parts.
+    """
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    parts = dealt.groupBy("a", "salt").agg(F.min("b").alias("m"))
+    least = parts.groupBy("a").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts")).select("a", "m", F.explode("salts").alias("salt"))
+    return dealt.join(least, ["a", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): for each node on a link, the smallest node that it reaches. Nodes may be any orderable type."""
     def oriented(df: DataFrame) -> DataFrame:
@@ -253,11 +269,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = staged(oriented(edges), "components")
     seen = None
     while True:
-        both = edges.union(edges.select("b", "a"))
-        low = F.least(F.min("b").over(Window.partitionBy("a")), F.col("a"))
-        large = oriented(both.withColumn("m", low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        small = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
-        edges = staged(oriented(small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")), "components")
+        both = _with_least(edges.union(edges.select("b", "a")))
+        large = oriented(both.where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")))
+        small = _with_least(large)
+        ends = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
+        before, edges = edges, staged(oriented(small.select(ends).select("e.a", "e.b")), "components")
+        discard(before)
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 1))")).first()
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -265,12 +282,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, fingerprint, component_id."""
-    by_doc = staged(fingerprints(docs), "simhash-docs")
-    distinct = staged(by_doc.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")), "simhash-distinct")
-    star = components(links(distinct))
-    named = staged(distinct.join(star, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "simhash-components")
-    joined = by_doc.join(named, "fp", "left")
+    """Per document: doc_id, fingerprint, component_id. An empty table gives an empty table.
+
+    A fingerprint that very many documents have is dealt in parts by document, like a hub's links.
+    """
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
+    by_doc = staged(fingerprints(docs).withColumn("salt", salt), "simhash-docs")
+    parts = by_doc.where("doc_id is not null").groupBy("fp", "salt").agg(F.min("doc_id").cast("long").alias("node"))
+    distinct = staged(parts.groupBy("fp").agg(F.min("node").alias("node"), F.collect_list("salt").alias("salts")), "simhash-distinct")
+    found = links(distinct.select("fp", "node"))
+    star = components(found)
+    named = distinct.join(star, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"), F.explode("salts").alias("salt"))
+    named = staged(named, "simhash-components")
+    joined = by_doc.join(named, ["fp", "salt"], "left")
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
