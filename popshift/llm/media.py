@@ -131,7 +131,7 @@ def from_wave(media: bytes) -> tuple[str, bytes]:
 
 def store(docs: DataFrame, codec: str = "mulaw") -> DataFrame:
     """doc_id, n_bytes, media: each text's padded bytes as a stored form, written as a table and read back."""
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
     df = text_bytes(docs, "doc_id")
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,39 +148,64 @@ def _stats(pcm: np.ndarray) -> str:
     return f"n={len(x)},mean={int(x.sum()) // len(x)},power={int((x * x).sum()) // len(x)},peak={int(np.abs(x).max())},crossings={int((sign[1:] != sign[:-1]).sum())}"
 
 
+def resample_half(pcm: np.ndarray) -> np.ndarray:
+    """Half the rate: the half-band filter (-1, 0, 9, 16, 9, 0, -1) / 32 around every other sample."""
+    x = np.pad(pcm.astype(np.int32), (3, 3), mode="edge")
+    n = len(pcm)
+    at = lambda k: x[3 + k : 3 + k + n : 2]
+    return np.clip((16 * at(0) + 9 * (at(-1) + at(1)) - at(-3) - at(3) + 16) >> 5, -32768, 32767).astype(np.int16)
+
+
+def eight_bits(pcm: np.ndarray) -> np.ndarray:
+    """Linear samples of 8 bits, unsigned as in WAVE files, rounded."""
+    return (np.clip((pcm.astype(np.int32) + 128) >> 8, -128, 127) + 128).astype(np.uint8)
+
+
+#: Bytes of payload that are decoded together: a batch's rows are taken in portions.
+PORTION = 1 << 20
+
+
 def features(media: DataFrame) -> DataFrame:
-    """Digests of what is stored, and for each reading of its bytes (mu-law, A-law, ADPCM) figures of the 16 kHz sound."""
-    small_batches(media.sparkSession, 500)
+    """Digests of what is stored, for each reading of its bytes (mu-law, A-law, ADPCM) figures of the 16 kHz sound, and pcm.
+
+    pcm is the stored sound at half its rate, as linear samples of 8 bits.
+    """
+    small_batches(media.sparkSession)
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            forms = column(batch, "media").to_pylist()
-            payloads = [from_wave(x)[1] for x in forms]
-            # ADPCM in one pass over the blocks of all rows, a bounded number of them at a time.
-            ima, at = [], 0
-            blocks = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, UNIT)
-            sound = np.concatenate([decode_ima(blocks[i : i + 32768]) for i in range(0, len(blocks), 32768)]) if len(blocks) else blocks
-            for p in payloads:
-                ima.append(sound[at : (at := at + len(p) // UNIT)].ravel())
-            said = [f"mulaw:{_stats(resample_double(decode('mulaw', p)))};alaw:{_stats(resample_double(decode('alaw', p)))};ima:{_stats(resample_double(x))}" for p, x in zip(payloads, ima, strict=True)]
-            sha = lambda rows: pa.array([hashlib.sha256(x).hexdigest() for x in rows], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), column(batch, "n_bytes"), pa.array([len(p) for p in payloads], pa.int64()), sha(payloads), pa.array([zlib.crc32(p[-UNIT:]) for p in payloads], pa.int64()), pa.array([len(x) for x in forms], pa.int64()), sha(forms), pa.array(said, pa.string())],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
-
-    return media.mapInArrow(of, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-
-
-def resampled(media: DataFrame) -> DataFrame:
-    """doc_id, rate, pcm: 16 kHz samples as little-endian 16-bit integers, ready to be written as a column."""
-    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pcm = [resample_double(decode(*from_wave(x.as_py()))).astype("<i2").tobytes() for x in column(batch, "media")]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([2 * RATE] * len(pcm), pa.int32()), pa.array(pcm, pa.binary())], names=["doc_id", "rate", "pcm"])
-
-    return media.mapInArrow(of, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, rate int, pcm binary")
+            sizes = np.array([len(x.as_buffer()) for x in column(batch, "media")])
+            begins = np.flatnonzero(np.diff(np.cumsum(sizes) // PORTION, prepend=-1))
+            for a, b in zip(begins.tolist(), [*begins[1:].tolist(), batch.num_rows], strict=True):
+                yield portion(batch.slice(a, b - a))
+
+    def portion(batch: pa.RecordBatch) -> pa.RecordBatch:
+        forms = column(batch, "media").to_pylist()
+        read_ = [from_wave(x) for x in forms]
+        payloads = [p for _, p in read_]
+        # ADPCM in one pass over the blocks of all rows, a bounded number of them at a time.
+        ima, at = [], 0
+        blocks = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, UNIT)
+        sound = np.concatenate([decode_ima(blocks[i : i + 32768]) for i in range(0, len(blocks), 32768)]) if len(blocks) else blocks
+        for p in payloads:
+            ima.append(sound[at : (at := at + len(p) // UNIT)].ravel())
+        said = [f"mulaw:{_stats(resample_double(decode('mulaw', p)))};alaw:{_stats(resample_double(decode('alaw', p)))};ima:{_stats(resample_double(x))}" for p, x in zip(payloads, ima, strict=True)]
+        pcm = [eight_bits(resample_half(decode(codec, p))).tobytes() for codec, p in read_]
+        sha = lambda rows: pa.array([hashlib.sha256(x).hexdigest() for x in rows], pa.string())
+        return pa.RecordBatch.from_arrays(
+            [column(batch, "doc_id"), column(batch, "n_bytes"), pa.array([len(p) for p in payloads], pa.int64()), sha(payloads), pa.array([zlib.crc32(p[-UNIT:]) for p in payloads], pa.int64()), pa.array([len(x) for x in forms], pa.int64()), sha(forms), pa.array(said, pa.string()), pa.array(pcm, pa.binary())],
+            names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"],
+        )
+
+    return media.mapInArrow(of, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary")
+
+
+def resampled(docs: DataFrame, codec: str = "mulaw") -> DataFrame:
+    """features() of what store() stores, with the resampled PCM written as a column of a table and read back."""
+    return staged(features(store(docs, codec)), "media-pcm")
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(store(read(spark, sf_dir, "documents")))
+    """The contract's columns, and the size and digest of the resampled PCM as it was read back."""
+    stored = resampled(read(spark, sf_dir, "documents"))
+    return stored.withColumns({"pcm_bytes": F.octet_length("pcm").cast("long"), "pcm_sha256": F.sha2("pcm", 256)}).drop("pcm")
