@@ -11,17 +11,16 @@ items without an id count nowhere; repeated items count once; repeated documents
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from popshift.llm.common import column, read, small_batches, text_bytes
+from popshift.llm.common import column, discard, read, small_batches, staged, text_bytes
 
 WINDOW, BLOCK = 10, 2
 #: Items of one broadcast block; a larger benchmark is searched block by block, each in a further narrow pass.
-ITEMS_PER_BLOCK, CHARS_PER_BLOCK = 20_000, 20_000_000
+CHARS_PER_BLOCK = 20_000_000
 
 _SPACES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -96,68 +95,72 @@ def merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """The items in blocks of bounded size: rows stream to the driver, one partition at a time, never all at once."""
-    block, size = [], 0
-    for item, text in text_bytes(benchmark, "item_id").toLocalIterator():
-        block.append((item, bytes(text)))
-        size += len(text)
-        if len(block) >= ITEMS_PER_BLOCK or size >= CHARS_PER_BLOCK:
-            yield block
-            block, size = [], 0
-    yield block
+    """The items by a hash of their id in blocks of about CHARS_PER_BLOCK bytes; one block at a time is on the driver.
+
+    An empty benchmark is one empty block.
+    """
+    items = text_bytes(benchmark, "item_id").where("item_id is not null")
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("_b"))).first()[0] or 0) // CHARS_PER_BLOCK))
+    for k in range(blocks):
+        here = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        yield [(r["item_id"], bytes(r["_b"])) for r in here.collect()]
+
+
+def _passes(df: DataFrame, benchmark: DataFrame, step, tag: str) -> DataFrame:
+    """df through one step for each block of items: step(matchers, batches). Results of a pass are written before the next,
+    so there is one worker and one block's tables at a time, however large the benchmark is."""
+    spark, before = df.sparkSession, None
+    for i, block in enumerate(_item_blocks(benchmark)):
+        if i:
+            df, done = staged(df, tag), before
+            before = df
+            if done is not None:
+                discard(done)
+            sent.unpersist()
+        sent = spark.sparkContext.broadcast(block)
+        df = df.mapInArrow(lambda batches, sent=sent: step(sent.value, batches), df.schema)
+    return df
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans (runs of hit words)."""
     spark = docs.sparkSession
     small_batches(spark)
-    df = text_bytes(docs, "doc_id").withColumns({"_spans": F.array().cast("array<array<int>>"), "_items": F.array().cast("array<long>")})
-    schema = df.schema
-    for block in _item_blocks(benchmark):
-        sent = spark.sparkContext.broadcast(block)
-
-        def search(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matchers = compile_items(sent.value, window)
-            for batch in batches:
-                spans, items = [], []
-                for text, had, of in zip(column(batch, "_b"), column(batch, "_spans").to_pylist(), column(batch, "_items").to_pylist(), strict=True):
-                    more, which = scan(words_of(text.as_py()), matchers)
-                    spans.append(merge([tuple(x) for x in had] + more) if had else more)
-                    items.append(sorted(which.union(of)))
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "_b"), pa.array([[list(x) for x in s] for s in spans], pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "_b", "_spans", "_items"])
-
-        df = df.mapInArrow(search, schema)
+    none = {"_spans": F.array().cast("array<array<int>>"), "_items": F.array().cast("array<long>"), "_n": F.lit(0).cast("long")}
 
-    def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(block: list, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers = compile_items(block, window)
         for batch in batches:
-            n_words = [len(words_of(x.as_py())) for x in column(batch, "_b")]
-            spans, items = column(batch, "_spans"), column(batch, "_items")
-            n_hit = [sum(b - a for a, b in s) for s in spans.to_pylist()]
-            of = items.to_pylist()
-            sha = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in of]
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in of], pa.int64()), pa.array(sha), pa.array([n > 0 for n in n_hit]), items, spans],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"],
-            )
+            spans, items, n = [], [], []
+            for text, had, of in zip(column(batch, "_b"), column(batch, "_spans").to_pylist(), column(batch, "_items").to_pylist(), strict=True):
+                words = words_of(text.as_py())
+                more, which = scan(words, matchers)
+                spans.append(merge([tuple(x) for x in had] + more) if had else more)
+                items.append(sorted(which.union(of)))
+                n.append(len(words))
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "_b"), pa.array([[list(x) for x in s] for s in spans], pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.int64())), pa.array(n, pa.int64())], names=["doc_id", "_b", "_spans", "_items", "_n"])
 
-    return df.mapInArrow(digest, f"doc_id {schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>, spans array<array<int>>")
+    found = _passes(text_bytes(docs, "doc_id").withColumns(none), benchmark, search, "decontam")
+    hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    digest = F.sha2(F.array_join(F.array_sort(F.transform("_items", lambda i: i.cast("string"))), ","), 256)
+    return found.select("doc_id", F.col("_n").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), digest.alias("items_sha256"), (hit > 0).alias("contaminated"), F.col("_items").alias("items"), F.col("_spans").alias("spans"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs, all columns as they are, in which no item's window occurs."""
+    """The rows of docs, all columns as they are, in which no item's window occurs.
+
+    Null and empty texts stay, as do rows without a doc_id and repeated rows; an empty table stays empty; without items all
+    rows stay.
+    """
     small_batches(docs.sparkSession)
-    out = docs
-    for block in _item_blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
 
-        def keep(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matchers = compile_items(sent.value, window)
-            for batch in batches:
-                hit = [any(True for m in matchers for _ in m.find(words)) for words in (words_of((x.as_py() or "").encode()) for x in column(batch, "text"))]
-                yield batch.filter(pa.array([not h for h in hit], pa.bool_()))
+    def keep(block: list, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers = compile_items(block, window)
+        for batch in batches:
+            hit = [any(True for m in matchers for _ in m.find(words)) for words in (words_of((x.as_py() or "").encode()) for x in column(batch, "text"))]
+            yield batch.filter(pa.array([not h for h in hit], pa.bool_()))
 
-        out = out.mapInArrow(keep, docs.schema)
-    return out
+    return _passes(docs, benchmark, keep, "decontam")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

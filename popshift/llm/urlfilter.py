@@ -13,9 +13,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from popshift.llm.common import lower_ascii, read, staged
+from popshift.llm.common import lower_ascii, new_path, read, staged
 
 RULES = [
     ("allow", "com", "/"),
@@ -25,7 +25,7 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 BITS_PER_KEY, HASHES = 8, 4
-#: A cascade is carried in the tasks only up to this size; a longer list is joined on the key instead.
+#: About so many bits a filter has at most; keys of a longer list are dealt by hash to several cascades.
 MAX_FILTER_BITS = 1 << 28
 
 
@@ -74,8 +74,7 @@ class Cascade:
         self.levels: list[tuple[DataFrame, int]] = []
         self.universe, rest = universe, universe
         n = rest.where("listed").count()
-        self.fits = n * BITS_PER_KEY <= MAX_FILTER_BITS
-        while self.fits and n:
+        while n:
             level, bits = len(self.levels), 64 * -(-n * BITS_PER_KEY // 64)
             side = F.col("listed") == F.lit(level % 2 == 0)
             words = staged(_filter_words(rest.where(side), level, bits), "cascade-level")
@@ -96,19 +95,25 @@ class Cascade:
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict. Listed: the hosts of which a block rule hits some URL of the corpus."""
+    spark = pages.sparkSession
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     urls = urls.withColumns({"rule": rule, "by_rule": verdict})
     hit = F.coalesce(F.max(F.col("by_rule") == "block"), F.lit(False))
     universe = staged(urls.groupBy(F.col("host").alias("key")).agg(hit.alias("listed")), "url-keys")
-    cascade = Cascade(universe)
-    if cascade.fits:
-        listed = cascade.contains(F.col("host"))
-    else:  # more keys than a task should carry
-        urls = urls.join(universe.where("listed").select(F.col("key").alias("host"), "listed"), "host", "left")
-        listed = F.coalesce(F.col("listed"), F.lit(False))
-    return urls.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(listed, "block").otherwise("allow")).alias("verdict"))
+    parts = max(1, -(-universe.where("listed").count() * BITS_PER_KEY // MAX_FILTER_BITS))
+    part = F.pmod(F.xxhash64(F.lit("part"), F.col("key")), F.lit(parts))
+    if parts > 1:  # rows lie by part, so that a part's tasks read its rows and carry its cascade only
+        path = new_path(spark, "url-parts")
+        urls.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), F.col("host")), F.lit(parts))).write.partitionBy("part").parquet(path)
+        rows = spark.read.schema(T.StructType([*urls.schema, T.StructField("part", T.LongType())])).parquet(path)
+    out = []
+    for k in range(parts):
+        here, mine = (urls, universe) if parts == 1 else (rows.where(F.col("part") == k), universe.where(part == k))
+        listed = Cascade(mine).contains(F.col("host"))
+        out.append(here.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(listed, "block").otherwise("allow")).alias("verdict")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
