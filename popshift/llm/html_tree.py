@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 #: HTML element classes. Fixed values, as the HTML standard gives them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,6 +57,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     nodes = [Node(-1, 0, "#page", "")]
     pieces: list[tuple[int, str]] = []
     open_ = [0]
+    #: Places in open_ of each name's open elements, and of those in SCOPE: no tag makes the stack be searched.
+    places: dict[str, list[int]] = {}
+    scopes: list[int] = []
     at, n = 0, len(page)
 
     def text(a: int, b: int) -> None:
@@ -66,10 +70,25 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             nodes[open_[-1]].own += len(t.strip())
             pieces.append((open_[-1], t))
 
+    def last(name: str) -> int:
+        return places[name][-1] if places.get(name) else -1
+
+    def opened(name: str) -> None:
+        places.setdefault(name, []).append(len(open_))
+        if name in SCOPE:
+            scopes.append(len(open_))
+        open_.append(len(nodes) - 1)
+
     def close(k: int) -> None:
-        if any(nodes[i].name not in INLINE for i in open_[k:]):
+        block = False
+        while len(open_) > k:
+            name = nodes[open_.pop()].name
+            places[name].pop()
+            if name in SCOPE:
+                scopes.pop()
+            block |= name not in INLINE
+        if block:
             pieces.append((-1, ""))
-        del open_[k:]
 
     while at < n:
         less = page.find("<", at)
@@ -87,29 +106,25 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             name = m["end"].lower()
             if name == "br":
                 pieces.append((-1, ""))
-            for k in range(len(open_) - 1, 0, -1):
-                if nodes[open_[k]].name == name:
-                    close(k)
-                    break
-                if nodes[open_[k]].name in SCOPE:
-                    break
+            k = last(name)
+            if k > 0 and k >= (scopes[-1] if scopes else 0):
+                close(k)
         elif m["start"]:
             name = m["start"].lower()
-            if name == "body" and any(nodes[i].name == "body" for i in open_):
+            if name == "body" and places.get("body"):
                 continue
-            ended, stop = ({"p"}, SCOPE) if name in CLOSES_P else ENDS.get(name, ((), ()))
-            if ended:
-                lowest = None
-                for k in range(len(open_) - 1, 0, -1):
-                    here = nodes[open_[k]].name
-                    if here in stop:
-                        break
-                    if here in ended:
-                        lowest = k
-                        if name in CLOSES_P or name == "li":
-                            break
-                if lowest:
-                    close(lowest)
+            if name in CLOSES_P:
+                if (k := last("p")) > (scopes[-1] if scopes else 0):
+                    close(k)
+            elif name in ENDS:
+                ended, stop = ENDS[name]
+                barrier = max(0, *(last(x) for x in stop))
+                if name == "li":
+                    above = [k for k in (last("li"),) if k > barrier]
+                else:  # the outermost one inside the barrier
+                    above = [row[i] for x in ended if (row := places.get(x)) and (i := bisect_right(row, barrier)) < len(row)]
+                if above:
+                    close(min(above))
             if name not in INLINE:
                 pieces.append((-1, ""))
             if name in VOID:
@@ -127,7 +142,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     pieces.append((-1, ""))
                 at = end.end() if end else n
                 continue
-            open_.append(len(nodes) - 1)
+            opened(name)
     return nodes, pieces
 
 

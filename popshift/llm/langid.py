@@ -4,7 +4,7 @@ A text is the average of the embeddings of its hashed byte n-grams; a linear lay
 linear, prediction uses their product, one row of class weights for each bucket. The temperature of the softmax and the
 rejection threshold are calibrated on labelled texts that training didn't see.
 
-Training is bounded: about PER_LANG labelled documents of each language, drawn by a hash of their doc_id from those whose
+Training is bounded: about PER_LANG labelled documents of each language, and IN_ALL over all languages, drawn by a hash of their doc_id from those whose
 crc32(doc_id) mod 5 is not 0; a quarter of them calibrates. Features are counted on the executors from whole texts.
 
 Defined results: a null text, or one with no letter, is `und` with score 0 and is rejected; documents without a doc_id or
@@ -24,12 +24,12 @@ from popshift.llm.common import column, read, small_batches
 
 BUCKETS, DIM = 1 << 15, 16
 ORDERS = (2, 3, 4)
-PER_LANG, EPOCHS, RATE, SEED = 400, 6, 2.0, 11
+PER_LANG, IN_ALL, EPOCHS, RATE, SEED = 400, 2_000, 6, 2.0, 11
 #: Share of calibration texts, right or wrong, that the threshold may reject.
 REJECTED = 0.001
 FOLDS = 5
 
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE = re.compile(r"[^\W\d_]")
 _KEPT = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _MULTIPLIERS = np.array([2654435761, 2246822519, 3266489917], dtype=np.uint32)
 
@@ -38,9 +38,14 @@ def fold(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string")) % FOLDS
 
 
+def has_letter(text: str) -> bool:
+    """Digits such as one half or a squared two are word characters, but no letters."""
+    return any(m[0].isalpha() for m in _MAYBE.finditer(text))
+
+
 def buckets_of(text: str) -> np.ndarray | None:
     """Bucket of each n-gram of the lower-cased text, where all but letters count as a space; None if no letter."""
-    if not text or not _LETTER.search(text):
+    if not text or not has_letter(text):
         return None
     raw = b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(_KEPT).split()) + b" "
     b = np.frombuffer(raw, np.uint8).astype(np.uint32)
@@ -120,7 +125,7 @@ def _sample(docs: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not counts:
         return []
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, PER_LANG / n))])
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, min(PER_LANG, IN_ALL / len(counts)) / n))])
     drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

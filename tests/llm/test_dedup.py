@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from popshift.llm import simhash, suffix_dedup, suffix_sort
+from popshift.llm import common, simhash, suffix_dedup, suffix_sort
 
 
 def brute_fingerprint(text):
@@ -246,11 +246,11 @@ def test_clashing_columns_survive_suffix_dedup(spark):
     assert out[1].n_chars == len(out[1].text) and suffix_dedup.deduplicated(docs.limit(0)).collect() == [] and docs.columns == names
 
 
-@pytest.mark.parametrize("folded", [1, 40, 1 << 17])
-def test_folded_windows_equal_brute_force(make_docs, monkeypatch, folded):
+@pytest.mark.parametrize("rows", [2, 10_000])
+def test_folded_windows_equal_brute_force(make_docs, monkeypatch, rows):
     """Windows that recur within a document (close by and far apart) follow the one that was sent, whichever task decides."""
     monkeypatch.setattr(suffix_dedup, "CROWD", 1)
-    monkeypatch.setattr(suffix_dedup, "FOLDED", folded)
+    monkeypatch.setattr(common, "BATCH_ROWS", rows)
     line = "".join(random.Random(6).choices("abcdefgh ", k=83)) + "\n"
     rows = [(9, line * 6 + "y" * 120), (3, "x" + line * 4), (7, "y" * 90 + line + "q" * 70 + line), (1, line[10:75] + "end"), (8, "end" + line * 3 + "y" * 60), *passages(2)]
     rows = list({d: (d, t) for d, t in rows}.values())

@@ -33,11 +33,12 @@ def test_bpe_equals_library(spark, sf, tokenizer, make_docs, edge_rows):
         assert got == sorted((d, *expected_bpe(tokenizer, t)) for d, t in rows)
 
 
-def test_bpe_any_lexicon_gives_the_same_ids(tokenizer):
+def test_bpe_any_lexicon_gives_the_same_ids(tokenizer, tmp_path):
     t = bpe.Tokenizer(bpe.tokenizer_file())
     texts = ["the quick brown fox thndrionings " * 3, "thndrioning the"]
     for words in ([], [b"the", b"quick", b"thndrionings", b"thndrioning"]):
-        lexicon = bpe.Lexicon.mapped(bpe.Lexicon.build({w: t.merge(w) for w in words}).dump())
+        (tmp_path / "lexicon").write_bytes(bpe.Lexicon.build({w: t.merge(w) for w in words}).dump())
+        lexicon = bpe.Lexicon.mapped(str(tmp_path / "lexicon"))
         for (ids, text), source in zip(bpe.Encoder(t, lexicon).encode(texts), texts, strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(source, add_special_tokens=False).ids
             assert text == tokenizer.decode(tokenizer.encode(source, add_special_tokens=False).ids, skip_special_tokens=False)
@@ -84,6 +85,63 @@ def test_language_id_edges(spark, make_docs, edge_rows):
     assert kept.columns == make_docs([]).columns and 2 not in {r.doc_id for r in kept.collect()}
 
 
+def test_language_prediction_equals_a_plain_version(make_docs):
+    """Averages of class weights over every n-gram, one at a time; digits that are word characters are no letters."""
+    training = [(1000 + i, t, lang) for i in range(40) for t, lang in (("the and of to in that is was", "en"), ("der die und das nicht ist ein zu", "de"))]
+    m = langid.fit(make_docs(training))
+    texts = ["The cat IS on the mat, 12 times!", "die Katze", "x", "é", "a" * 300, "½ ² ① 12", "¹a"]
+    got = {r.doc_id: r for r in langid.identify(make_docs(list(enumerate(texts))), m).collect()}
+    for i, text in enumerate(texts):
+        if not any(c.isalpha() for c in text):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        letters = "".join(c if "a" <= c <= "z" or ord(c) >= 128 else " " for c in text.lower())
+        raw = (" " + " ".join(x for x in letters.split(" ") if x) + " ").encode()
+        raw = raw.ljust(3)
+        total, n = np.zeros(2), 0
+        for size, k in zip(langid.ORDERS, langid._MULTIPLIERS.tolist(), strict=True):
+            for j in range(len(raw) - size + 1):
+                gram = int.from_bytes(raw[j : j + size], "big")
+                total += m.weights[(gram * k & 0xFFFFFFFF) >> 17]
+                n += 1
+        z = (total / n + m.bias) / m.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[i].lang_pred == m.langs[int(p.argmax())] and abs(got[i].score - p.max()) < 1e-6
+
+
+def brute_stats(samples):
+    """The figures of sound at twice its rate, a sample at a time."""
+    n = len(samples)
+    x = lambda i: int(samples[min(max(i, 0), n - 1)])
+    out = []
+    for i in range(n):
+        out += [x(i), max(-32768, min(32767, (9 * (x(i) + x(i + 1)) - x(i - 1) - x(i + 2) + 8) >> 4))]
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(out, out[1:], strict=False))
+    return f"n={len(out)},mean={sum(out) // len(out)},power={sum(v * v for v in out) // len(out)},peak={max(map(abs, out))},crossings={crossings}"
+
+
+def test_media_features_and_stored_pcm_equal_a_sample_at_a_time(make_docs):
+    texts = ["", "hello telephone", "ÿþ\x01" * 50, "q" * 129]
+    for r in media.resampled(make_docs(list(enumerate(texts)))).collect():
+        payload = media.pad(texts[r.doc_id].encode())
+        ima = media.decode_ima(np.frombuffer(payload, np.uint8).reshape(-1, 64)).ravel()
+        by = {"mulaw": [int(media.MULAW[b]) for b in payload], "alaw": [int(media.ALAW[b]) for b in payload], "ima": ima.tolist()}
+        assert r.feature == ";".join(f"{k}:{brute_stats(v)}" for k, v in by.items())
+        x = lambda i, v=by["mulaw"]: v[min(max(i, 0), len(v) - 1)]
+        want = []
+        for i in range(0, len(payload), 2):
+            half = (16 * x(i) + 9 * (x(i - 1) + x(i + 1)) - x(i - 3) - x(i + 3) + 16) >> 5
+            want.append(max(-128, min(127, (max(-32768, min(32767, half)) + 128) >> 8)) + 128)
+        assert list(r.pcm) == want
+
+
+def test_media_rows_are_decoded_in_portions(make_docs, monkeypatch):
+    docs = make_docs([(i, chr(97 + i) * (100 * i)) for i in range(9)])
+    whole = sorted(map(tuple, media.features(media.store(docs)).collect()))
+    monkeypatch.setattr(media, "PORTION", 300)
+    assert sorted(map(tuple, media.features(media.store(docs)).collect())) == whole
+
+
 def test_media_round_trip(spark, make_docs, edge_rows):
     docs = make_docs(edge_rows)
     texts = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
@@ -169,6 +227,6 @@ def test_decontamination_equals_brute_force(spark, make_docs, edge_rows):
 def test_decontamination_in_blocks(spark, make_docs, monkeypatch):
     items = [(i, f"w{i} a b c d e f g h i{i} tail{i}") for i in range(7)]
     docs = [(i, f"x w{i} a b c d e f g h i{i} y") for i in range(9)] + [(50, "w1 a b c d e f g h i1 w2 a b c d e f g h i2")]
-    monkeypatch.setattr(decontam, "ITEMS_PER_BLOCK", 3)
+    monkeypatch.setattr(decontam, "CHARS_PER_BLOCK", 300)
     got = sorted(tuple(r) for r in decontam.decontaminate(make_docs(docs), spark.createDataFrame(items, "item_id long, text string")).drop("items", "spans").collect())
     assert got == brute_decontamination(docs, items)

@@ -4,10 +4,11 @@ import base64
 import hashlib
 import html
 import re
+import sys
 
 import pytest
 
-from popshift.llm import html_extract, license_scan, urlfilter, warc
+from popshift.llm import html_extract, html_tree, license_scan, urlfilter, warc
 from popshift.llm.html_labels import labelled_pages
 from popshift.llm.html_tree import parse
 
@@ -70,6 +71,36 @@ def test_html_edges(spark, model):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string"), model).collect() == []
 
 
+def test_deep_pages_take_linear_time():
+    """Unclosed, wrongly closed and paragraph-ending tags in great depth: four times the page, no more than about four times the work."""
+    def steps(n):
+        pages = ["<div>" * n + "</b>" * n, "<p><span>" * n, "<b>" * n + "<p>" * n, "<table><tr><td>" * n + "</x>" * n, "<ul><li>" * n + "</li>" * n, "<dl><dt>" * n]
+        counted = 0
+
+        def tick(frame, event, arg):
+            nonlocal counted
+            counted += event == "line"
+            return tick
+
+        for page in pages:
+            sys.settrace(tick)
+            nodes, _ = html_tree.parse(page)
+            sys.settrace(None)
+            assert len(nodes) > n
+        return counted
+
+    assert steps(2000) < 5 * steps(500)
+
+
+def test_end_tags_stop_at_scopes():
+    nodes, pieces = html_tree.parse("<div>a<table><tr><td>b</div>c</td></tr></table>d</div>e<li>f<ul><li>g<li>h</ul>i<li>j")
+    at = {t: nodes[i].name for i, t in pieces if i >= 0}
+    assert at["c"] == "td" and at["d"] == "div" and at["e"] == "#page"
+    path = lambda i: [] if i <= 0 else [*path(nodes[i].parent), nodes[i].name]
+    of = {t: path(i) for i, t in pieces if i >= 0}
+    assert of["g"] == of["h"] == ["li", "ul", "li"] and of["i"] == ["li"] == of["j"]
+
+
 def expected_warc(rows, least=0):
     payload = lambda h: (h or "").encode()
     best = {}
@@ -144,9 +175,9 @@ def brute_judge(rows):
     return sorted((-1 if p is None else p, h, q, r or "", v or ("block" if h in listed else "allow")) for p, h, q, r, v in judged)
 
 
-@pytest.mark.parametrize("bits", [1 << 28, 0])
+@pytest.mark.parametrize("bits", [1 << 28, 100])
 def test_url_filters_equal_brute_force(spark, monkeypatch, bits):
-    """With no bits for a filter the list is joined instead."""
+    """With few bits for a filter the list is dealt to several cascades."""
     monkeypatch.setattr(urlfilter, "MAX_FILTER_BITS", bits)
     urls = ["http://A.example.COM/en/1", "https://www.example.com/en/x", "http://b.net/es/", "http://b.net/de/", "http://b.net", "ftp://net/fr/1?x#y", None, "", "no scheme", "http://x.com?a=/en/", "http://notexample.com/en/", "http://h\n.org/p\nq?z", "x://y://z/es/", "http://q.com/", "http://deep.www.example.com/en/", "http://U:80/ESS", "http://b.net/de/"]
     rows = [*enumerate(urls), (None, "http://b.net/de/"), *[(1000 + i, f"http://h{i % 150}.{'net' if i % 3 else 'org'}/{'es' if i % 150 < 40 and i < 150 else 'de'}/") for i in range(400)]]
