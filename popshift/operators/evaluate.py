@@ -61,23 +61,19 @@ class Totals:
         return Gates(floor, support, max_pct, min_events)
 
 
+def gated(n0: int, x0: int, n1: int, x1: int, totals: Totals, gates: Gates) -> bool:
+    """Whether counts of rows and events on both sides pass the support and event gates."""
+    shares = (n0 / max(1, totals.n0), n1 / max(1, totals.n1))
+    return min(n0, n1) >= gates.min_abs and min(shares) >= gates.min_support and max(shares) <= gates.max_pct and min(x0 or 0, x1 or 0) >= gates.min_events
+
+
 def gate_counts(df: DataFrame, rules: list[Rule], roles: Roles, totals: Totals, gates: Gates) -> list[int]:
-    """cand_ids that pass the support and event gates: conditional sums in one scan, without exploding a row."""
-    passed: list[int] = []
-    for i in range(0, len(rules), 100):
-        part = rules[i : i + 100]
-        aggs = []
-        for r in part:
-            for side in (0, 1):
-                hit = r.column() & (F.col("side") == side)
-                aggs += [F.count_if(hit), F.sum(F.when(hit, F.col(roles.target)).otherwise(0))]
-        row = df.agg(*aggs).first()
-        for k, r in enumerate(part):
-            n0, x0, n1, x1 = row[4 * k : 4 * k + 4]
-            shares = (n0 / max(1, totals.n0), n1 / max(1, totals.n1))
-            if min(n0, n1) >= gates.min_abs and min(shares) >= gates.min_support and max(shares) <= gates.max_pct and min(x0 or 0, x1 or 0) >= gates.min_events:
-                passed.append(r.cand_id)
-    return passed
+    """cand_ids that pass the gates: rows are dealt to the candidates that they fit and counted, one scan for all."""
+    on = lambda s, v: F.sum(F.when(F.col("side") == s, v).otherwise(0)).cast("long")
+    m = members(df, rules, ["side", roles.target])
+    sums = [on(s, v).alias(f"{k}{s}") for s in (0, 1) for k, v in (("n", F.lit(1)), ("x", F.col(roles.target)))]
+    found = {r["cand_id"]: r for r in m.groupBy("cand_id").agg(*sums).collect()}
+    return [r.cand_id for r in rules if (q := found.get(r.cand_id)) and gated(q["n0"], q["x0"], q["n1"], q["x1"], totals, gates)]
 
 
 def passes(metrics: DataFrame, gates: Gates) -> DataFrame:

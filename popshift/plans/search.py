@@ -14,7 +14,8 @@ from popshift.sources.population import CATEGORICAL, LOW_CARD, NUMERIC, POP_SQL,
 
 c = F.col
 ROLES = ev.Roles(numeric=tuple(NUMERIC), categorical=(*CATEGORICAL, *LOW_CARD))
-CFG = gen.SearchConfig()
+#: The settings of the published run: depth 3, 50 trees, 8 to 12 clusters, 40 bins with 50 replicates.
+CFG = gen.SearchConfig(max_combo_depth=3, n_estimators=50, k_range=(8, 12))
 
 
 def cached(spark, sf_dir) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from popshift.sources.tables import table
+from popshift.sources.tables import spread, table
 
 SPLIT = "1999-01-01"
 TARGET, SCORE, WEIGHT = "y", "s", "w"
@@ -20,6 +20,7 @@ SHAP = ["shap_quantity", "shap_discount", "shap_segment"]
 
 def population(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, o, c, p, n = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "part", "nation"))
+    li = spread(li)
     rows = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(p, li.l_partkey == p.p_partkey).join(n, c.c_nationkey == n.n_nationkey)
     side = F.when(F.col("o_orderdate") < F.lit(SPLIT).cast("timestamp_ntz"), 0).otherwise(1)
     bad = F.when(F.col("l_returnflag") == "R", 1).otherwise(0)

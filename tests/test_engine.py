@@ -1,6 +1,7 @@
 """Closed forms, brute force on small frames, planted drift, and the oracle on the small tables."""
 
 import math
+import random
 import os
 
 import numpy as np
@@ -175,9 +176,36 @@ def test_paths_canonicalised():
     assert cart.rule_text(["x >= 7", "r = West"]) == "r = West AND x >= 7" and cart.rule_text([]) == "All Customers (Root)"
 
 
-def test_best_first_bins():
-    bins = cart.best_first_bins([(float(v), 10 if v < 5 else 2, 1 if v < 5 else 9) for v in range(10)], 2, 5)
-    assert [(b.lower, b.upper) for b in bins] == [(-math.inf, 4.5), (4.5, math.inf)] and sum(b.n for b in bins) == 110
+@pytest.mark.parametrize("many", [500_000, 3])
+def test_best_first_bins(spark, monkeypatch, many):
+    """Against a plain search; with few values being many already, they are cumulated in two steps."""
+    monkeypatch.setattr(cart, "MANY", many)
+    rng = random.Random(8)
+    hists = {f: [(v, rng.randint(0, 9), rng.randint(0, 4) + (6 if 3 < v < 7 else 0)) for v in sorted({round(rng.uniform(0, 10), 1) for _ in range(60)})] for f in "ab"}
+    df = spark.createDataFrame([(f, float(v), g, b) for f, h in hists.items() for v, g, b in h], "name string, v double, g long, b long")
+    bins = cart.best_first_bins(df, ["a", "b", "none"], 5, 20)
+
+    def best(h):
+        n, own, found = sum(g + b for _, g, b in h), None, None
+        if n:
+            own = (sum(g for _, g, _ in h) ** 2 + sum(b for _, _, b in h) ** 2) / n
+        for i in range(1, len(h)):
+            parts = [(sum(g for _, g, _ in p), sum(b for _, _, b in p)) for p in (h[:i], h[i:])]
+            if min(map(sum, parts)) >= 20:
+                gain = sum((g * g + b * b) / (g + b) for g, b in parts) - own
+                if gain > 1e-12 and (found is None or gain > found[0] + 1e-9):
+                    found = gain, i
+        return found
+
+    for f, h in hists.items():
+        leaves = [h]
+        while len(leaves) < 5 and any(map(best, leaves)):
+            k = max((i for i, x in enumerate(leaves) if best(x)), key=lambda i: (best(leaves[i])[0], -i))
+            i = best(leaves[k])[1]
+            leaves[k : k + 1] = [leaves[k][:i], leaves[k][i:]]
+        assert [b.n for b in bins[f]] == [sum(g + b for _, g, b in x) for x in leaves]
+        assert [b.upper for b in bins[f][:-1]] == [pytest.approx((x[-1][0] + y[0][0]) / 2) for x, y in zip(leaves, leaves[1:], strict=False)]
+    assert set(bins) == {"a", "b"}
 
 
 def test_profile_and_quality_edges(spark):
@@ -308,9 +336,12 @@ def test_binning_finds_a_change_of_calibration_alone(spark):
 
 def test_adjusted_rand_and_quality(spark):
     df = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (1, 0)], "a int, b int")
-    assert gen.adjusted_rand(df, F.col("a"), F.col("b")) == 1.0 and gen.adjusted_rand(df, F.col("a"), F.col("a") % 1) == 0.0
+    tables = [{(r["a"], r["x"]): r["n"] for r in df.groupBy("a", x.alias("x")).agg(F.count("*").alias("n")).collect()} for x in (F.col("b"), F.col("a") % 1)]
+    assert gen.adjusted_rand(tables[0]) == 1.0 and gen.adjusted_rand(tables[1]) == 0.0
     pts = [([0.0, 0.0], 0), ([0.0, 1.0], 0), ([10.0, 0.0], 1), ([10.0, 1.0], 1)]
-    q = gen.cluster_quality(spark.createDataFrame(pts, "_x array<double>, label int"), np.array([[0.0, 0.5], [10.0, 0.5]]))
+    x, label, centres = np.array([p[0] for p in pts]), np.array([p[1] for p in pts]), np.array([[0.0, 0.5], [10.0, 0.5]])
+    d = ((x - centres[label]) ** 2).sum(axis=1)
+    q = {"silhouette": gen.silhouette(x, label)} | gen.spread_quality(centres, np.bincount(label).astype(float), float(d.sum()), np.array([np.sqrt(d[label == i]).mean() for i in (0, 1)]))
     assert q["silhouette"] > 0.85 and q["calinski_harabasz"] == pytest.approx(200.0) and q["davies_bouldin"] == pytest.approx(0.1)
 
 
