@@ -10,11 +10,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from popshift.functions.buckets import EPS, interior, psi_floored, psi_term, right_closed
 from popshift.functions.special import ks_survival, normal_two_sided
-from popshift.operators.rules import Rule, members
+from popshift.operators.rules import Rule, members, with_hits
+from popshift.sources.staging import staged
 
 
 @dataclass(frozen=True)
@@ -188,14 +190,97 @@ def derived(perf: DataFrame, totals: Totals) -> DataFrame:
 METRICS = ["n_dev", "n_mon", "pct_dev", "pct_mon", "x_dev", "x_mon", "psi", "br_dev", "br_mon", "delta_br", "br_pvalue", "auc_dev", "auc_mon", "delta_auc", "gini_dev", "gini_mon", "delta_gini", "ks_dev", "ks_mon", "delta_ks", "score_shift_pvalue", "weight_dev", "weight_mon", "dev_weight_pct", "mon_weight_pct", "exposure_drift", "calibration_drift", "mean_feature_psi", "mean_shap_shift", "top_drift_feature", "top_drift_psi", "top_shap_shift_feature", "top_shap_shift_psi"]
 
 
-def evaluate_members(m: DataFrame, roles: Roles, totals: Totals, key: str = "cand_id") -> DataFrame:
-    out = derived(performance(score_histogram(m, roles, key), key), totals)
-    out = out.join(top_drift(feature_drift(value_counts(m, roles, key), key), key), key, "left") if roles.numeric or roles.categorical or roles.shap else out.withColumns({"mean_feature_psi": F.lit(0.0), "mean_shap_shift": F.lit(0.0), "top_drift_feature": F.lit(None).cast("string"), "top_drift_psi": F.lit(0.0), "top_shap_shift_feature": F.lit(None).cast("string"), "top_shap_shift_psi": F.lit(0.0)})
+#: Rows whose histograms a task makes together.
+TOGETHER = 100_000
+
+_HISTOGRAM = "kind string, name string, v double, t string, n0 long, n1 long, b0 long, b1 long, w0 double, w1 double"
+
+
+def histograms(rows: DataFrame, roles: Roles, key: str = "cand_id") -> tuple[DataFrame, DataFrame]:
+    """(score_histogram, value_counts) of rows with `hits`, the candidates that a row fits, in one scan.
+
+    A task counts its rows by (candidate, value) in arrays, a column at a time, so no row is multiplied; what it sends is
+    added up in a shuffle and written once, as both tables are read several times.
+    """
+    numbers, texts = [*roles.numeric, *roles.shap], list(roles.categorical)
+    w = F.coalesce(F.col(roles.weight).cast("double"), F.lit(0.0)) if roles.weight else F.lit(0.0)
+    df = rows.select("hits", F.col("side").cast("int").alias("side"), F.col(roles.target).cast("int").alias("y"), F.col(roles.score).cast("double").alias("s"), w.alias("w"), *[F.col(c).cast("double").alias(f"n_{c}") for c in numbers], *[F.col(c).cast("string").alias(f"t_{c}") for c in texts])
+    shap = set(roles.shap)
+
+    def count(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([(key, pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("v", pa.float64()), ("t", pa.string()), *[(c, pa.int64()) for c in ("n0", "n1", "b0", "b1")], ("w0", pa.float64()), ("w1", pa.float64())])
+
+        def made(held: list):
+            table = pa.Table.from_batches(held).combine_chunks()
+            hits = table.column("hits").chunk(0)
+            cands, cand = np.unique(hits.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+            row = np.repeat(np.arange(len(hits)), np.diff(np.asarray(hits.offsets)))
+            side, y = (table.column(c).to_numpy() for c in ("side", "y"))
+            for name in ["s", *table.column_names[5:]]:
+                column = table.column(name).chunk(0)
+                text = name.startswith("t_")
+                if text:
+                    coded = column.dictionary_encode()
+                    labels, code, ok = coded.dictionary, coded.indices.fill_null(0).to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+                else:
+                    ok = column.is_valid().to_numpy(zero_copy_only=False)
+                    labels, code = np.unique(column.fill_null(0.0).to_numpy(), return_inverse=True)
+                here = ok[row]
+                at, of = row[here], cand[here] * max(1, len(labels)) + code[row[here]]
+                groups, of = np.unique(of, return_inverse=True) if len(cands) * len(labels) > 20_000_000 else (np.arange(len(cands) * max(1, len(labels))), of)
+                total = lambda mask, weights=None: np.bincount(of[mask], None if weights is None else weights[mask], len(groups))
+                on = [side[at] == i for i in (0, 1)]
+                n = [total(m) for m in on]
+                keep = np.flatnonzero(n[0] + n[1])
+                if not len(keep):
+                    continue
+                zero = np.zeros(len(keep))
+                b, weight = ([total(m, v[at])[keep] for m in on] for v in (y.astype(float), table.column("w").to_numpy())) if name == "s" else ([zero, zero], [zero, zero])
+                of_cand, value = groups[keep] // max(1, len(labels)), groups[keep] % max(1, len(labels))
+                kind = "S" if name == "s" else "T" if text else "A" if name[2:] in shap else "N"
+                v, t = (pa.nulls(len(keep), pa.float64()), labels.take(pa.array(value))) if text else (pa.array(labels[value]), pa.nulls(len(keep), pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(cands[of_cand], pa.int32()), pa.repeat(pa.scalar(kind), len(keep)), pa.repeat(pa.scalar(name if name == "s" else name[2:]), len(keep)), v, t, *(pa.array(x[keep], pa.int64()) for x in n), *(pa.array(x.astype(np.int64)) for x in b), *map(pa.array, weight)], schema=schema)
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= TOGETHER:
+                yield from made(held)
+                held, size = [], 0
+        if size:
+            yield from made(held)
+
+    sums = [F.sum(c).alias(c) for c in ("n0", "n1", "b0", "b1", "w0", "w1")]
+    both = staged(df.where("size(hits) > 0").mapInArrow(count, f"{key} int, {_HISTOGRAM}").groupBy(key, "kind", "name", "v", "t").agg(*sums), "histograms")
+    scores = both.where("kind = 'S'").select(key, F.col("v").alias("s"), "b0", (F.col("n0") - F.col("b0")).alias("g0"), "b1", (F.col("n1") - F.col("b1")).alias("g1"), "w0", "w1")
+    return scores, both.where("kind <> 'S'").select(key, "name", "v", "n0", "n1", "kind", "t")
+
+
+def measured(scores: DataFrame, counts: DataFrame, roles: Roles, totals: Totals, key: str = "cand_id") -> DataFrame:
+    """METRICS from a score histogram and value counts."""
+    out = derived(performance(scores, key), totals)
+    if roles.numeric or roles.categorical or roles.shap:
+        out = out.join(top_drift(feature_drift(counts, key), key), key, "left")
+    else:
+        out = out.withColumns({"mean_feature_psi": F.lit(0.0), "mean_shap_shift": F.lit(0.0), "top_drift_feature": F.lit(None).cast("string"), "top_drift_psi": F.lit(0.0), "top_shap_shift_feature": F.lit(None).cast("string"), "top_shap_shift_psi": F.lit(0.0)})
     return out.select(key, *METRICS)
 
 
+def evaluate_hits(rows: DataFrame, roles: Roles, totals: Totals, key: str = "cand_id") -> DataFrame:
+    """Measures of the candidates in `hits`."""
+    return measured(*histograms(rows, roles, key), roles, totals, key)
+
+
+def evaluate_members(m: DataFrame, roles: Roles, totals: Totals, key: str = "cand_id") -> DataFrame:
+    """Measures of the groups that a column of any type names, a row for each member."""
+    return measured(score_histogram(m, roles, key), value_counts(m, roles, key), roles, totals, key)
+
+
 def evaluate(df: DataFrame, rules: list[Rule], roles: Roles, totals: Totals) -> DataFrame:
     """One row per rule: technique, cand_id, segment_definition and METRICS. Rules with an empty side have no row."""
     spark = df.sparkSession
     named = spark.createDataFrame([(r.cand_id, r.technique, r.label()) for r in rules], "cand_id int, technique string, segment_definition string")
-    return F.broadcast(named).join(evaluate_members(members(df, rules, roles.columns), roles, totals), "cand_id").select("technique", "cand_id", "segment_definition", *METRICS)
+    return F.broadcast(named).join(evaluate_hits(with_hits(df, rules), roles, totals), "cand_id").select("technique", "cand_id", "segment_definition", *METRICS)

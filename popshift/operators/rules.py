@@ -49,18 +49,19 @@ class Predicate:
             return ~text.eqNullSafe(self.values[0])
         return F.coalesce(text, F.lit(MISSING)).isin(list(self.values))
 
-    def where(self) -> str:
-        """Executable SQL text of the same condition."""
-        f, quote = self.feature, lambda v: "'" + v.replace("'", "''") + "'"
+    def where(self, exact: bool = False) -> str:
+        """Executable SQL text of the same condition; exact: names quoted and bounds typed, as expressions need it."""
+        f, quote = f"`{self.feature.replace('`', '``')}`" if exact else self.feature, lambda v: "'" + (v.replace("\\", "\\\\").replace("'", "\\'") if exact else v.replace("'", "''")) + "'"
         if self.kind == "M":
             return f"{f} IS NULL"
         if self.kind in "NB":
             lo, hi = (">=", "<") if self.kind == "N" else (">", "<=")
+            number = lambda x: repr(float(x)) + "D" if exact else repr(x)
             parts = [f"{f} IS NOT NULL"]
             if self.lower > -math.inf:
-                parts.append(f"{f} {lo} {self.lower!r}")
+                parts.append(f"{f} {lo} {number(self.lower)}")
             if self.upper < math.inf:
-                parts.append(f"{f} {hi} {self.upper!r}")
+                parts.append(f"{f} {hi} {number(self.upper)}")
             return " AND ".join(parts)
         if self.kind == "C":
             return f"coalesce(CAST({f} AS STRING) = {quote(self.values[0])}, false)"
@@ -99,8 +100,8 @@ class Rule:
     def column(self) -> Column:
         return reduce(lambda a, b: a & b, [p.column() for p in self.parts], F.lit(True))
 
-    def where(self) -> str:
-        return " AND ".join(f"({p.where()})" for p in self.parts) or "true"
+    def where(self, exact: bool = False) -> str:
+        return " AND ".join(f"({p.where(exact)})" for p in self.parts) or "true"
 
     def label(self) -> str:
         return self.text or " AND ".join(p.label() for p in self.parts) or "All Customers (Root)"
@@ -144,20 +145,36 @@ def atomic_rules(predicates: dict[str, list[Predicate]], technique: str = "atomi
 BATCH = 150
 
 
+def hits_of(conditions: list[tuple[int, str]]) -> Column:
+    """Array of the numbers whose condition holds, as one expression text: hundreds of conditions are quickly sent."""
+    return F.array_compact(F.expr("array(" + ", ".join(f"CASE WHEN {text} THEN {k} END" for k, text in conditions) + ")")) if conditions else F.array().cast("array<int>")
+
+
+def hits(rules: list[Rule]) -> Column:
+    return hits_of([(r.cand_id, r.where(exact=True)) for r in rules])
+
+
 def members(df: DataFrame, rules: list[Rule], columns: list[str]) -> DataFrame:
     """A row for each row and rule that it fits: cand_id and the columns. One scan for each BATCH of rules."""
     out = None
     for i in range(0, len(rules), BATCH):
-        hits = F.array_compact(F.array(*[F.when(r.column(), F.lit(r.cand_id)) for r in rules[i : i + BATCH]]))
-        part = df.select(*columns, F.explode(hits).alias("cand_id"))
+        part = df.select(*columns, F.explode(hits(rules[i : i + BATCH])).alias("cand_id"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def with_hits(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """df with hits: the cand_ids of the rules that a row fits, BATCH of them in a projection."""
+    parts = []
+    for i in range(0, len(rules), BATCH):
+        df = df.withColumn(f"_hits{i}", hits(rules[i : i + BATCH]))
+        parts.append(f"_hits{i}")
+    return df.withColumn("hits", F.concat(*parts) if parts else F.array().cast("array<int>")).drop(*parts)
+
+
 def overlaps(mon: DataFrame, rules: list[Rule]) -> DataFrame:
     """(a, b, n) for a <= b: rows that fit both rules. The pairs are made within a row, so nothing is joined."""
-    hits = F.array_compact(F.array(*[F.when(r.column(), F.lit(r.cand_id)) for r in rules]))
-    rows = mon.select(hits.alias("h")).where("size(h) > 0").groupBy("h").agg(F.count("*").alias("n"))
+    rows = mon.select(hits(rules).alias("h")).where("size(h) > 0").groupBy("h").agg(F.count("*").alias("n"))
     pairs = rows.select("h", "n", F.explode("h").alias("a")).select("a", "n", F.explode(F.filter("h", lambda x: x >= F.col("a"))).alias("b"))
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
 

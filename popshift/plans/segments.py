@@ -90,17 +90,17 @@ def _mm_sql(x: str, by: str = "PARTITION BY technique") -> str:
 
 
 _DROP = "greatest(0.0, coalesce(-{0}, 0.0))"
-_EXPLAIN = """concat_ws(' | ', CASE WHEN psi > 0.10 THEN printf('Population shift (Dev %.1f%% -> Mon %.1f%%, PSI %.4f)', 100 * pct_dev, 100 * pct_mon, psi) END,
- CASE WHEN delta_gini < -0.05 THEN printf('Gini drop %.4f (Dev %.4f -> Mon %.4f)', abs(delta_gini), gini_dev, gini_mon) END, CASE WHEN delta_ks < -0.05 THEN printf('KS drop %.4f (Dev %.4f -> Mon %.4f)', abs(delta_ks), ks_dev, ks_mon) END,
- CASE WHEN abs(delta_br) > 0.03 AND p_br <= 0.05 THEN printf('Significant bad-rate shift (Dev %.2f%% -> Mon %.2f%%, p_adj=%.4f)', 100 * br_dev, 100 * br_mon, p_br) END,
- CASE WHEN psi < 0.10 AND abs(delta_gini) >= 0.05 THEN 'Population share stable (low PSI) but the score no longer separates risk inside this segment -- concept drift, not exposure drift' END)"""
+_EXPLAIN = """concat_ws('; ', CASE WHEN psi > 0.10 THEN printf('share moved from %.1f%% to %.1f%% (PSI %.4f)', 100 * pct_dev, 100 * pct_mon, psi) END,
+ CASE WHEN delta_gini < -0.05 THEN printf('Gini down by %.4f, from %.4f to %.4f', abs(delta_gini), gini_dev, gini_mon) END, CASE WHEN delta_ks < -0.05 THEN printf('KS down by %.4f, from %.4f to %.4f', abs(delta_ks), ks_dev, ks_mon) END,
+ CASE WHEN abs(delta_br) > 0.03 AND p_br <= 0.05 THEN printf('bad rate from %.2f%% to %.2f%% (adjusted p %.4f)', 100 * br_dev, 100 * br_mon, p_br) END,
+ CASE WHEN psi < 0.10 AND abs(delta_gini) >= 0.05 THEN 'as many rows as before, but the score ranks them differently: the relation changed, not the mix' END)"""
 SCORE_SQL = f"""r1 AS (SELECT *, count(*) OVER (PARTITION BY technique, br_pvalue IS NULL) AS nn, row_number() OVER (PARTITION BY technique, br_pvalue IS NULL ORDER BY br_pvalue) AS rk FROM ev), r2 AS (SELECT * EXCLUDE (nn, rk), {_bh_sql("br_pvalue", "q1")} FROM r1),
 r3 AS (SELECT *, count(*) OVER (PARTITION BY technique, score_shift_pvalue IS NULL) AS nn, row_number() OVER (PARTITION BY technique, score_shift_pvalue IS NULL ORDER BY score_shift_pvalue) AS rk FROM r2), r4 AS (SELECT * EXCLUDE (nn, rk), {_bh_sql("score_shift_pvalue", "q2")} FROM r3),
 i1 AS (SELECT *, coalesce(q1, 1.0) AS p_br, coalesce(q2, 1.0) AS p_ks, CASE WHEN mon_weight_pct > 0 THEN mon_weight_pct ELSE 1.0 END AS expo, {_DROP.format("delta_auc")} AS adrop, least(1.0, sqrt(n_mon / 100.0::DOUBLE)) AS conf FROM r4),
 i2 AS (SELECT *, adrop * expo * pct_mon * conf AS sis, greatest(0.0, (pct_mon - pct_dev) * adrop * expo * (1 + mean_feature_psi)) AS dis, abs(pct_mon - pct_dev) * adrop * expo * (1 + mean_feature_psi) AS diss FROM i1),
 i3 AS (SELECT *, 0.35 * ({_mm_sql("sis")}) + 0.30 * ({_mm_sql("dis")}) + 0.20 * ({_mm_sql("mean_feature_psi")}) + 0.15 * ({_mm_sql("mean_shap_shift")}) AS blend, {_EXPLAIN} AS ex FROM i2),
 sc AS (SELECT *, p_br AS badrate_pvalue_adj, p_ks AS scoreshift_pvalue_adj, p_br <= 0.05 OR p_ks <= 0.05 AS statistically_significant, round(pct_mon * mon_weight_pct * (1 + psi + {_DROP.format("delta_gini")}), 4) AS business_impact_score, round(sis, 6) AS sis_raw, round(dis, 6) AS dis_raw, round(diss, 6) AS dis_symmetric, round(conf, 4) AS confidence_score,
- 'Population Share: ' || CASE WHEN psi < 0.1 THEN 'Stable' WHEN psi <= 0.25 THEN 'Moderate Drift' ELSE 'Significant Drift' END AS psi_interpretation, round(blend, 6) AS root_cause_score, round(20 * blend, 4) AS severity_score, round(coalesce(pct_mon * abs(delta_gini), 0), 6) AS portfolio_impact_score, CASE WHEN ex = '' THEN 'Segment performance stable' ELSE ex END AS drift_explanation FROM i3)"""
+ 'Population Share: ' || CASE WHEN psi < 0.1 THEN 'Stable' WHEN psi <= 0.25 THEN 'Moderate Drift' ELSE 'Significant Drift' END AS psi_interpretation, round(blend, 6) AS root_cause_score, round(20 * blend, 4) AS severity_score, round(coalesce(pct_mon * abs(delta_gini), 0), 6) AS portfolio_impact_score, CASE WHEN ex = '' THEN 'no notable change' ELSE ex END AS drift_explanation FROM i3)"""
 SCORED = f"{BASE}, {SCORE_SQL}"
 
 

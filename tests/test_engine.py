@@ -431,3 +431,23 @@ def test_benchmark_names_every_technique(spark, sf, monkeypatch):
     assert set(got) == {"Late", "Drift Tree", "Feature Binning"}
     assert got["Late"].status.startswith("FAILED") and got["Drift Tree"].status == got["Feature Binning"].status == "OK"
     assert got["Late"].segments_generated is None and got["Feature Binning"].segments_generated > 0
+
+
+def test_fences_of_negative_and_few_valued_columns(spark):
+    """The limit of shares and percentages is for columns without negative values; given limits hold without fences."""
+    df = spark.createDataFrame([(side, float(i - 50), float(i % 100), float(i % 3)) for side in (0, 1) for i in range(141)], "side int, signed double, percent double, few double")
+    cfg = outliers.OutlierConfig(valid_ranges={"few": (0, 1), "percent": (0, None)})
+    fit = {r.name: r for r in outliers.fences(df.where("side = 0"), ["signed", "percent", "few"], cfg).collect()}
+    assert fit["signed"].dev_min == -50 and fit["signed"].upper > 100 and fit["percent"].upper == 100
+    assert (fit["few"].method, fit["few"].lower, fit["few"].upper, fit["few"].dev_max) == ("valid_range", 0.0, 1.0, 2.0) and fit["percent"].method.endswith("+valid_range")
+    found = {(r.side, r.name): r for r in outliers.report(df, ["signed", "percent", "few"], cfg).collect()}
+    assert found[0, "few"].status == "range_violation" and found[0, "few"].range_violations == 47
+
+
+def test_confidence_and_fallback_root_cause_score(spark):
+    df = spark.createDataFrame([(0.2, 0.01, 2.0, 0.3), (None, float("nan"), None, 0.1)], "p_br double, p_ks double, severity_score double, top_drift_psi double")
+    assert [r[0] for r in df.select(scoring.drift_confidence()).collect()] == [0.99, 0.0]
+    assert [r.root_cause_score for r in scoring.with_root_cause_score(df).collect()] == [0.6, 0.0]
+    given = df.withColumn("root_cause_score", F.lit(5.0))
+    assert {r.root_cause_score for r in scoring.with_root_cause_score(given).collect()} == {5.0}
+    assert {r.root_cause_score for r in scoring.with_root_cause_score(df.select("p_br")).collect()} == {0.0}
