@@ -451,3 +451,43 @@ def test_confidence_and_fallback_root_cause_score(spark):
     given = df.withColumn("root_cause_score", F.lit(5.0))
     assert {r.root_cause_score for r in scoring.with_root_cause_score(given).collect()} == {5.0}
     assert {r.root_cause_score for r in scoring.with_root_cause_score(df.select("p_br")).collect()} == {0.0}
+
+
+def test_standard_names_and_bundle(spark, tmp_path):
+    from popshift.operators.scoring import SCORED
+    from popshift.sources import results
+
+    df = spark.createDataFrame([("a", 0.5, 0.6, 7, True, 1.0, 2.0, "x")], "segment string, Dev_AUC double, Mon_Gini double, Mon_Count long, Significant boolean, final_score double, Overall_Score double, Other string")
+    out = results.standardised(df, "T")
+    assert out.columns == ["segment_definition", "auc_dev", "gini_mon", "n_mon", "statistically_significant", "severity_score", "Overall_Score", "other", "technique"] and out.first().technique == "T"
+    assert {results.standard_name(x) for x in ("PSI", "Delta_BR", "ks_dev", "Dev_Pct", "EAD_Mon", "Exposure_Pct", "Root_Cause_PSI")} == {"psi", "delta_br", "ks_dev", "pct_dev", "weight_mon", "mon_weight_pct", "top_drift_psi"}
+    assert set(ev.METRICS) | set(SCORED) <= set(results.MEANING)
+    blocked = tmp_path / "blocked"
+    blocked.write_text("a file where the folder should be")
+    paths = results.write_bundle({"segments": out.drop("Overall_Score")}, str(tmp_path)) | results.write_bundle({"b": out.select("technique")}, str(tmp_path), "parquet")
+    assert spark.read.option("header", True).csv(paths["segments"]).first().segment_definition == "a"
+    assert spark.read.parquet(paths["b"]).schema["technique"].metadata == {"comment": "What found the segment"}
+
+
+def test_binned_error_equals_a_plain_version(spark):
+    rng = random.Random(3)
+    rows = [(side, rng.randint(0, 1), rng.uniform(-0.1, 1.1)) for side in (0, 1) for _ in range(200)] + [(0, 1, 0.5), (0, 0, 0.25)]
+    edges = [0.0, 0.25, 0.5, 1.0]
+    df = spark.createDataFrame([(1, *r) for r in rows], "cand_id int, side int, y int, s double")
+    for r in gen.binned_error(df, ev.Roles(weight=None), edges).collect():
+        own = [(y, s) for side, y, s in rows if side == r.side]
+        at = np.clip(np.digitize([s for _, s in own], edges) - 1, 0, 2)
+        want = sum(abs(sum(s - y for (y, s), b in zip(own, at, strict=True) if b == k)) for k in range(3)) / len(own)
+        assert r.ece == pytest.approx(want)
+
+
+def test_bootstrap_takes_further_measures(spark):
+    rows = [(side, int(i % 10 < 3 + 3 * side), (i % 50) / 50, "ab"[i % 2]) for side in (0, 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "side int, y int, s double, g string")
+    rules = [rl.Rule("t", 0, (rl.Predicate("g", "C", values=("a",)),))]
+    extra = {"rows": F.col("n_mon") - F.col("n_dev")}
+    roles_ = ev.Roles(weight=None)
+    got = {r.metric: r for r in gen.bootstrap(df, rules, roles_, gen.SearchConfig(n_iter=60), extra).collect()}
+    assert set(got) == {"auc", "gini", "ks", "br", "ece", "rows"} and got["br"].p == 0 and got["br"].lower < 0.2 < got["br"].upper and got["rows"].lower < 0 < got["rows"].upper
+    again = {r.metric: r for r in gen.bootstrap(df.repartition(7), rules, roles_, gen.SearchConfig(n_iter=60), extra).collect()}
+    assert {k: (v.lower, v.upper) for k, v in again.items()} == {k: (pytest.approx(v.lower), pytest.approx(v.upper)) for k, v in got.items()}
