@@ -38,7 +38,7 @@ from popshift.llm.suffix_sort import Memory, suffixes
 WINDOW, GRAM = 50, 16
 SIDE = (WINDOW - GRAM) // 2
 #: Bytes of a text that are hashed together, also of many short ones; regions that a task reduces together; bytes of a shard.
-PIECE, SLICE, REDUCED, SORTED = 1 << 22, 1 << 16, 1 << 20, 1 << 20
+PIECE, SLICE, REDUCED, SORTED = 1 << 22, 1 << 16, 1 << 18, 1 << 20
 #: Share of the regions (one in so many) beyond which an anchor is hot, and documents of the sample; open regions of one
 #: anchor beyond which it is dealt out by window.
 HOT, SAMPLE, CROWD = 4096, 5_000, 100_000
@@ -177,25 +177,25 @@ def _find(batches: Iterable[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.Rec
     count = 0
 
     def reduced() -> Iterator[pa.RecordBatch]:
-        h, c, first, n, offset, doc, tag = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, c, span, doc, tag = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         order = np.lexsort((doc, c, h))
-        h, c, doc = h[order], c[order], doc[order]
+        h, c, span, doc, tag = (x[order] for x in (h, c, span, doc, tag))
         new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
         again = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         if again.any():
-            k = order[again]
-            yield _spans(doc[again], tag[k], first[k], first[k] + n[k] - 1 + WINDOW)
-        k = order[~again]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[~again], c[~again], doc[~again], tag[k], first[k] << 16 | offset[k] << 6 | n[k])], names=["h", "c", "doc", "tag", "span"])
+            first = span[again] >> 16
+            yield _spans(doc[again], tag[again], first, first + (span[again] & 63) - 1 + WINDOW)
+        yield pa.RecordBatch.from_arrays([pa.array(x[~again]) for x in (h, c, doc, tag, span)], names=["h", "c", "doc", "tag", "span"])
 
     for batch in batches:
         doc, tag = (column(batch, x).to_numpy(zero_copy_only=False) for x in ("doc_id", "_tag"))
-        *found, text = regions(*_texts(batch), hot)
-        held.append((*found, doc[text], tag[text]))
+        h, c, first, n, offset, text = regions(*_texts(batch), hot)
+        held.append((h, c, first << 16 | offset << 6 | n, doc[text], tag[text]))
         count += len(text)
         if count >= REDUCED:
             yield from reduced()
-            held, count = [], 0
+            count = 0
     if count:
         yield from reduced()
 

@@ -32,9 +32,9 @@ class Memory:
     sorted in memory. spilled counts tuples that went to disk."""
 
     queues: int = 1 << 20
-    array: int = 1 << 26
+    array: int = 1 << 24
     block: int = 1 << 17
-    names: int = 1 << 22
+    names: int = 1 << 21
     spilled: int = 0
 
     def empty(self, n: int, kind: type | np.dtype) -> np.ndarray:
