@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import html
+import math
 import re
 import sys
 
@@ -157,6 +158,34 @@ def test_license_lines(spark, make_docs, edge_rows):
     assert license_scan.scan(make_docs([])).collect() == []
 
 
+def plain_scan(text, m):
+    """The model over each line, a bigram at a time."""
+    sure = []
+    for line in (text or "").split("\n"):
+        words = [w for w in re.split(r"[^a-z0-9]+", line.lower()) if w]
+        grams = list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
+        if not grams:
+            continue
+        z = [(b + sum(round(float(m.weights[g][i]), 6) for g in grams if g in m.weights)) / m.temperature for i, b in enumerate(m.bias)]
+        e = [math.exp(v - max(z)) for v in z]
+        best = z.index(max(z))
+        share = sum(best in m.within.get(g, ()) for g in grams) / len(grams)
+        if m.families[best] != license_scan.UNKNOWN and 1 / sum(e) >= m.threshold and share >= license_scan.CONFIRMED:
+            sure.append((-1 / sum(e), m.families[best]))
+    return (min(sure)[1], -min(sure)[0], len(sure), ",".join(sorted({f for _, f in sure}))) if sure else (None, None, 0, "")
+
+
+def test_license_scan_equals_a_plain_version(spark):
+    m = license_scan.fit()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r for r in license_scan.scan(docs, m).collect()}
+    for r in docs.collect():
+        family, score, n, families = plain_scan(r.text, m)
+        found = got[r.doc_id]
+        assert (found.family, found.n_notices, found.families) == (family, n, families)
+        assert found.score == (pytest.approx(score) if score is not None else None)
+
+
 def brute_judge(rows):
     def parts(u):
         if u is None or "://" not in u:
