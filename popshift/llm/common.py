@@ -58,7 +58,7 @@ def discard(df: DataFrame) -> None:
 
 
 #: Bytes of an Arrow batch, and its rows at most.
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 10_000
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1_000
 
 
 def small_batches(spark: SparkSession) -> None:

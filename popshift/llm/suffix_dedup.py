@@ -440,6 +440,7 @@ def hot_anchors(texts: DataFrame) -> np.ndarray:
 
 def covered(tagged: DataFrame) -> DataFrame:
     """Ranges (doc, tag, start, size) of bytes that windows of documents with smaller ids cover; ranges may overlap."""
+    small_batches(tagged.sparkSession)
     texts = tagged.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
     hot = hot_anchors(texts)
     found = texts.mapInArrow(lambda batches: _find(batches, hot), _ROWS)
