@@ -95,7 +95,7 @@ def test_scores_by_hand(spark):
     assert got[0].sis_raw == pytest.approx(0.1 * 0.2 * 0.2) and got[0].dis_raw == pytest.approx(0.1 * 0.1 * 0.2 * 1.1)
     assert got[1].sis_raw == 0 and got[1].confidence_score == 0.5 and got[1].dis_symmetric == 0  # an improvement never wins
     assert got[2].sis_raw == 0 and got[2].portfolio_impact_score == 0
-    assert got[0].statistically_significant and got[0].psi_interpretation == "Population Share: Stable" and "Gini drop 0.2000" in got[0].drift_explanation
+    assert got[0].statistically_significant and got[0].psi_interpretation == "Population Share: Stable" and "Gini down by 0.2000" in got[0].drift_explanation
     assert got[0].severity_score == pytest.approx(20 * got[0].root_cause_score, abs=1e-3)
 
 
