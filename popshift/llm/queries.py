@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from popshift.llm import bpe, decontam, html_extract, langid, license_scan, media, pii, simhash, suffix_dedup, urlfilter, warc
+from popshift.llm import bpe, decontam, html_extract, langid, license_scan, media, pii, simhash, suffix_dedup, urlfilter, variants, warc
 
 QUERIES = {
     "op1_html_extraction": html_extract.op1_html_extraction,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_url_filters": urlfilter.op9_url_filters,
     "op10_benchmark_decontamination": decontam.op10_benchmark_decontamination,
+    "op11_spelling_variants": variants.op11_spelling_variants,
     "op13_pii": pii.op13_pii,
 }
 ORACLE_SQL = {
     "op2_warc": warc.OP2_SQL,
     "op9_url_filters": urlfilter.OP9_SQL,
     "op10_benchmark_decontamination": decontam.OP10_SQL,
+    "op11_spelling_variants": variants.OP11_SQL,
 }
