@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from popshift.llm import bpe, decontam, html_extract, langid, license_scan, media, pii, simhash, suffix_dedup, urlfilter, variants, warc
+from popshift.llm import align, bpe, decontam, html_extract, langid, license_scan, media, pii, simhash, suffix_dedup, urlfilter, variants, warc
 
 QUERIES = {
     "op1_html_extraction": html_extract.op1_html_extraction,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_url_filters": urlfilter.op9_url_filters,
     "op10_benchmark_decontamination": decontam.op10_benchmark_decontamination,
     "op11_spelling_variants": variants.op11_spelling_variants,
+    "op12_cross_tokenizer_alignment": align.op12_cross_tokenizer_alignment,
     "op13_pii": pii.op13_pii,
 }
 ORACLE_SQL = {
