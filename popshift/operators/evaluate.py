@@ -8,10 +8,11 @@ Windows run over these histograms, never over rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from popshift.functions.buckets import EPS, interior, psi_floored, psi_term, right_closed
 from popshift.functions.special import ks_survival, normal_two_sided
@@ -196,15 +197,32 @@ TOGETHER = 100_000
 _HISTOGRAM = "kind string, name string, v double, t string, n0 long, n1 long, b0 long, b1 long, w0 double, w1 double"
 
 
-def histograms(rows: DataFrame, roles: Roles, key: str = "cand_id") -> tuple[DataFrame, DataFrame]:
-    """(score_histogram, value_counts) of rows with `hits`, the candidates that a row fits, in one scan.
+@dataclass(frozen=True)
+class Finder:
+    """Which candidates a row fits, found in the task: of(arrays) takes the columns by name, and gives places of rows and the
+    candidates beside them. each: candidates that a row fits at most."""
+
+    columns: dict[str, Column]
+    of: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]]
+    each: int = 1
+
+
+#: Pairs of rows and candidates that are counted together.
+PAIRS = 4_000_000
+
+
+def histograms(rows: DataFrame, roles: Roles, key: str = "cand_id", finder: Finder | None = None) -> tuple[DataFrame, DataFrame]:
+    """(score_histogram, value_counts) in one scan of rows with `hits`, the candidates that a row fits, or with a finder.
 
     A task counts its rows by (candidate, value) in arrays, a column at a time, so no row is multiplied; what it sends is
     added up in a shuffle and written once, as both tables are read several times.
     """
     numbers, texts = [*roles.numeric, *roles.shap], list(roles.categorical)
     w = F.coalesce(F.col(roles.weight).cast("double"), F.lit(0.0)) if roles.weight else F.lit(0.0)
-    df = rows.select("hits", F.col("side").cast("int").alias("side"), F.col(roles.target).cast("int").alias("y"), F.col(roles.score).cast("double").alias("s"), w.alias("w"), *[F.col(c).cast("double").alias(f"n_{c}") for c in numbers], *[F.col(c).cast("string").alias(f"t_{c}") for c in texts])
+    found_by, of_rows = (list(finder.columns), finder.of) if finder else ([], None)
+    finds = [finder.columns[name].alias(f"f_{name}") for name in found_by]
+    df = rows.select("hits" if finder is None else F.lit(0).alias("hits"), F.col("side").cast("int").alias("side"), F.col(roles.target).cast("int").alias("y"), F.col(roles.score).cast("double").alias("s"), w.alias("w"), *[F.col(c).cast("double").alias(f"n_{c}") for c in numbers], *[F.col(c).cast("string").alias(f"t_{c}") for c in texts], *finds)
+    together = TOGETHER if finder is None else max(1, min(TOGETHER, PAIRS // finder.each))
     shap = set(roles.shap)
 
     def count(batches):
@@ -214,9 +232,15 @@ def histograms(rows: DataFrame, roles: Roles, key: str = "cand_id") -> tuple[Dat
 
         def made(held: list):
             table = pa.Table.from_batches(held).combine_chunks()
-            hits = table.column("hits").chunk(0)
-            cands, cand = np.unique(hits.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-            row = np.repeat(np.arange(len(hits)), np.diff(np.asarray(hits.offsets)))
+            if of_rows is None:
+                hits = table.column("hits").chunk(0)
+                cands, cand = np.unique(hits.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+                row = np.repeat(np.arange(len(hits)), np.diff(np.asarray(hits.offsets)))
+            else:
+                row, cand = of_rows({name: table.column(f"f_{name}").to_numpy() for name in found_by})
+                cands = np.flatnonzero(np.bincount(cand))
+                cand = np.searchsorted(cands, cand)
+                table = table.select(table.column_names[: table.num_columns - len(found_by)])
             side, y = (table.column(c).to_numpy() for c in ("side", "y"))
             for name in ["s", *table.column_names[5:]]:
                 column = table.column(name).chunk(0)
@@ -247,14 +271,15 @@ def histograms(rows: DataFrame, roles: Roles, key: str = "cand_id") -> tuple[Dat
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
-            if size >= TOGETHER:
+            if size >= together:
                 yield from made(held)
                 held, size = [], 0
         if size:
             yield from made(held)
 
     sums = [F.sum(c).alias(c) for c in ("n0", "n1", "b0", "b1", "w0", "w1")]
-    both = staged(df.where("size(hits) > 0").mapInArrow(count, f"{key} int, {_HISTOGRAM}").groupBy(key, "kind", "name", "v", "t").agg(*sums), "histograms")
+    df = df.where("size(hits) > 0") if finder is None else df
+    both = staged(df.mapInArrow(count, f"{key} int, {_HISTOGRAM}").groupBy(key, "kind", "name", "v", "t").agg(*sums), "histograms")
     scores = both.where("kind = 'S'").select(key, F.col("v").alias("s"), "b0", (F.col("n0") - F.col("b0")).alias("g0"), "b1", (F.col("n1") - F.col("b1")).alias("g1"), "w0", "w1")
     return scores, both.where("kind <> 'S'").select(key, "name", "v", "n0", "n1", "kind", "t")
 
@@ -269,9 +294,9 @@ def measured(scores: DataFrame, counts: DataFrame, roles: Roles, totals: Totals,
     return out.select(key, *METRICS)
 
 
-def evaluate_hits(rows: DataFrame, roles: Roles, totals: Totals, key: str = "cand_id") -> DataFrame:
-    """Measures of the candidates in `hits`."""
-    return measured(*histograms(rows, roles, key), roles, totals, key)
+def evaluate_hits(rows: DataFrame, roles: Roles, totals: Totals, key: str = "cand_id", finder: Finder | None = None) -> DataFrame:
+    """Measures of the candidates in `hits`, or of those that the finder finds."""
+    return measured(*histograms(rows, roles, key, finder), roles, totals, key)
 
 
 def evaluate_members(m: DataFrame, roles: Roles, totals: Totals, key: str = "cand_id") -> DataFrame:

@@ -179,21 +179,49 @@ def overlaps(mon: DataFrame, rules: list[Rule]) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+#: Rules whose overlaps are counted in one scan.
+TOGETHER = 64
+
+
+def shared_rows(mon: DataFrame, rules: list[Rule]) -> dict[tuple[int, int], int]:
+    """Rows that two of the rules share, by their places a <= b. A task multiplies its rows' memberships; what it sends is a
+    number for each pair, whatever its rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    def count(batches):
+        total = np.zeros((len(rules), len(rules)))
+        for batch in batches:
+            fits = np.stack([x.to_numpy(zero_copy_only=False) for x in batch.columns]).astype(np.float32)
+            for at in range(0, fits.shape[1], 1 << 20):  # whole numbers of single precision are exact below 2^24
+                part = fits[:, at : at + (1 << 20)]
+                total += part @ part.T
+        a, b = np.nonzero(np.triu(total))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(total[a, b].astype(np.int64))], names=["a", "b", "n"])
+
+    fits = [F.expr(f"coalesce({r.where(exact=True)}, false)").alias(f"r{k}") for k, r in enumerate(rules)]
+    found = mon.select(*fits).mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return {(r["a"], r["b"]): r["n"] for r in found.collect()}
+
+
 def deduplicated(mon: DataFrame, rules: list[Rule], pool_size: int = 30, jaccard: float = 0.70, containment: float = 0.90) -> list[Rule]:
-    """Rules in the given order without those that nearly repeat an earlier kept one; overlaps are counted on mon."""
-    if not rules:
-        return []
-    n = {(r["a"], r["b"]): r["n"] for r in overlaps(mon, rules).collect()}  # pairs of a bounded pool
-    size = lambda r: n.get((r.cand_id, r.cand_id), 0)
+    """Rules in the given order without those that nearly repeat an earlier kept one; overlaps are counted on mon, of TOGETHER
+    rules and those kept so far at a time, until the pool is full."""
     kept: list[Rule] = []
-    for r in rules:
-        for k in kept:
-            both = n.get((min(r.cand_id, k.cand_id), max(r.cand_id, k.cand_id)), 0)
-            union = size(r) + size(k) - both
-            if union and (both / union >= jaccard or (size(r) and both / size(r) >= containment) or (size(k) and both / size(k) >= containment)):
-                break
-        else:
-            kept.append(r)
-            if len(kept) == pool_size:
-                break
+    for at in range(0, len(rules), TOGETHER):
+        some = [*kept, *rules[at : at + TOGETHER]]
+        n = shared_rows(mon, some)
+        size = lambda k: n.get((k, k), 0)
+        places = list(range(len(kept)))
+        for j in range(len(kept), len(some)):
+            for i in places:
+                both = n.get((i, j), 0)
+                union = size(i) + size(j) - both
+                if union and (both / union >= jaccard or (size(j) and both / size(j) >= containment) or (size(i) and both / size(i) >= containment)):
+                    break
+            else:
+                kept.append(some[j])
+                places.append(j)
+                if len(kept) == pool_size:
+                    return kept
     return kept

@@ -11,15 +11,21 @@ from popshift.plans.monitoring import long_sql
 from popshift.plans.registry import query, rounded
 from popshift.plans.segments import MEMBERS_SQL, technique_rules
 from popshift.sources.population import CATEGORICAL, LOW_CARD, NUMERIC, POP_SQL, population
+from popshift.sources.staging import staged
 
 c = F.col
 ROLES = ev.Roles(numeric=tuple(NUMERIC), categorical=(*CATEGORICAL, *LOW_CARD))
 CFG = gen.SearchConfig()
 
 
-def cached(spark, sf_dir) -> DataFrame:
-    """Generators run many jobs over the population: it is joined once and kept, in memory as far as it fits."""
-    return population(spark, sf_dir).persist()
+def searched(spark, sf_dir, search) -> DataFrame:
+    """What search(population) finds, written. Searches run many jobs over the population: it is joined once and kept, in
+    memory as far as it fits, until then."""
+    pop = population(spark, sf_dir).persist()
+    try:
+        return staged(search(pop), "search")
+    finally:
+        pop.unpersist()
 
 
 @query("membership_counts", f"WITH {POP_SQL}, {MEMBERS_SQL} SELECT seg AS segment_definition, side, count(*) AS n, CAST(sum(y) AS BIGINT) AS events FROM mem GROUP BY ALL")
@@ -112,39 +118,40 @@ def tree_first_split(spark, sf_dir):
 
 
 def _shown(found: DataFrame) -> DataFrame:
-    return scoring.ranked(scoring.score(found)).select("technique", "segment_definition", "n_dev", "n_mon", "psi", "delta_br", "delta_gini", "statistically_significant", "severity_score", "rank")
+    return scoring.ranked(scoring.score(found)).select(_SHOWN)
+
+
+_SHOWN = ["technique", "segment_definition", "n_dev", "n_mon", "psi", "delta_br", "delta_gini", "statistically_significant", "severity_score", "rank"]
 
 
 @query("beam_search")
 def beam_search(spark, sf_dir):
-    pop = cached(spark, sf_dir)
-    metrics, rules = gen.beam_search(pop, ROLES, CFG)
-    return gen.top_segments(pop, metrics, rules, CFG).select("technique", "segment_definition", "n_dev", "n_mon", "psi", "delta_br", "delta_gini", "statistically_significant", "severity_score", "rank")
+    return searched(spark, sf_dir, lambda pop: gen.top_segments(pop, *gen.beam_search(pop, ROLES, CFG), CFG).select(_SHOWN))
 
 
 @query("drift_tree")
 def drift_tree(spark, sf_dir):
-    return _shown(gen.drift_tree(cached(spark, sf_dir), ROLES, CFG)[0])
+    return searched(spark, sf_dir, lambda pop: _shown(gen.drift_tree(pop, ROLES, CFG)[0]))
 
 
 @query("gradient_boosting")
 def gradient_boosting(spark, sf_dir):
-    return _shown(gen.boosting(cached(spark, sf_dir), ROLES, CFG)[0])
+    return searched(spark, sf_dir, lambda pop: _shown(gen.boosting(pop, ROLES, CFG)[0]))
 
 
 @query("kmeans_clusters")
 def kmeans_clusters(spark, sf_dir):
-    return gen.clusters(cached(spark, sf_dir), ROLES, CFG)[0].select("technique", "segment_definition", "n_dev", "n_mon", "psi", "delta_br", "delta_gini", "rule_precision", "rule_recall")
+    return searched(spark, sf_dir, lambda pop: gen.clusters(pop, ROLES, CFG)[0].select("technique", "segment_definition", "n_dev", "n_mon", "psi", "delta_br", "delta_gini", "rule_precision", "rule_recall"))
 
 
 @query("supervised_bins")
 def supervised_bins(spark, sf_dir):
-    return rl.rule_table(spark, gen.supervised_rules(cached(spark, sf_dir), ROLES, CFG)).drop("where_text")
+    return searched(spark, sf_dir, lambda pop: rl.rule_table(spark, gen.supervised_rules(pop, ROLES, CFG)).drop("where_text"))
 
 
 @query("feature_binning")
 def feature_binning(spark, sf_dir):
-    return gen.feature_binning(cached(spark, sf_dir), ROLES, replace(CFG, top_n=20)).select("technique", "segment_definition", "n_dev", "n_mon", "psi", "delta_br", "delta_gini", "delta_ece", "auc_p_adj", "ks_p_adj", "br_p_adj", "ece_p_adj", "min_p_adj", "significant", "deterioration_score", "final_score", "rank")
+    return searched(spark, sf_dir, lambda pop: gen.feature_binning(pop, ROLES, replace(CFG, top_n=20)).select("technique", "segment_definition", "n_dev", "n_mon", "psi", "delta_br", "delta_gini", "delta_ece", "auc_p_adj", "ks_p_adj", "br_p_adj", "ece_p_adj", "min_p_adj", "significant", "deterioration_score", "final_score", "rank"))
 
 
 @query("calibration_shift")
@@ -157,12 +164,16 @@ def calibration_shift(spark, sf_dir):
 
 @query("technique_benchmark")
 def technique_benchmark(spark, sf_dir):
-    """All techniques over one comparison, compared; a technique that failed has a row that says so."""
+    """All techniques over one comparison with their tuned settings, compared: the setting taken, and a technique that failed has
+    a row that says so."""
     from popshift.operators import runner
 
-    out = runner.benchmark(cached(spark, sf_dir), ROLES, CFG)
-    log = out["run_log"].drop("seconds")
-    return log.join(out["comparison"], "technique", "left") if "comparison" in out else log
+    def search(pop):
+        out = runner.benchmark(pop, ROLES, CFG)
+        log = out["run_log"].drop("seconds")
+        return log.join(out["comparison"], "technique", "left") if "comparison" in out else log
+
+    return searched(spark, sf_dir, search)
 
 
 @query("shap_detail", f"""WITH {POP_SQL}, m AS (SELECT c_mktsegment AS segment, side, shap_quantity, shap_discount, shap_segment FROM pop), u AS (SELECT segment, side, 'shap_quantity' AS name, shap_quantity AS v FROM m UNION ALL SELECT segment, side, 'shap_discount', shap_discount FROM m UNION ALL SELECT segment, side, 'shap_segment', shap_segment FROM m)

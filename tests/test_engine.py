@@ -345,16 +345,6 @@ def test_adjusted_rand_and_quality(spark):
     assert q["silhouette"] > 0.85 and q["calinski_harabasz"] == pytest.approx(200.0) and q["davies_bouldin"] == pytest.approx(0.1)
 
 
-def test_grid_takes_the_larger_impact(spark):
-    def run(cfg):
-        if cfg.numeric_bins == 3:
-            raise ValueError
-        return spark.createDataFrame([(float(cfg.numeric_bins),)], "business_impact_score double")
-
-    best, top = gen.grid(run, gen.SearchConfig(), {"numeric_bins": [2, 3, 5, 4]})
-    assert best.numeric_bins == 5 and top == 5.0
-
-
 def test_stream_equals_batch(spark, tmp_path):
     from popshift.streaming import periods
 
