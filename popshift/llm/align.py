@@ -13,8 +13,8 @@ sides in a group are linked. A linked id pair counts the documents that hold it.
 3. `contributions`: runs meet their radix's totals, at most FAN_IN runs a time, and stream back for each document of their
    portion the sum of counts and the number of best links. A portion's contributions are added up beside its documents.
 
-Text is encoded by chunks, white space and what follows it. Neither tokenizer joins bytes across a chunk's start (pieces of B are
-checked for it), so groups don't either, and what was found for a chunk is remembered.
+Text is encoded by chunks: white space and what follows it, and signs behind a word. Neither tokenizer joins bytes across a
+chunk's start (pieces of B are checked for it), so groups don't either, and what was found for a chunk is remembered.
 
 Defined results: texts that are null, empty, or don't come back from both tokenizers byte by byte have no tokens: zeros and an
 empty groups_sha256. Each row is a document of its own, so repeated rows, ties and rows without a doc_id count each and get one
@@ -29,6 +29,7 @@ import heapq
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,11 @@ RADIX = 64
 #: Runs that are merged at once.
 FAN_IN = 256
 #: Chunks that a worker remembers, and their characters.
-REMEMBERED, CHARACTERS = 250_000, 32_000_000
+REMEMBERED, CHARACTERS = 700_000, 32_000_000
+#: Links of a group beyond which its distinct pairs are counted instead of all being written out.
+LARGE = 4096
+#: Letters behind which a sign starts a chunk.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: A pair is A id << SHIFT | B id.
 SHIFT = 20
 #: Bits of a document's number in its portion; records of a portion have 36.
@@ -79,21 +84,25 @@ class Aligner:
         if any("\n" in p for p in pieces):
             raise ValueError("a piece of the second tokenizer holds a line feed")
         self.lead = [self.b.piece_to_id("▁"), self.b.piece_to_id("<0x0A>")]
-        # A chunk starts at white space behind something else, where no piece goes on.
-        cut = "".join(c for c in " \n\t" if not any(re.search(rf"[^\s▁]{'▁' if c == ' ' else c}", p) for p in pieces))
-        more = rf"\S*(?:[^\S{cut}]\s*\S*)*"
-        self.chunks = re.compile(rf"\s+{more}|\S{more}").findall
+        # A chunk starts at white space behind something else, or at a sign behind a letter, where no piece goes on.
+        plain = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        spaces = "".join(c for c in " \n\t" if not any(re.search(rf"[^\s▁]{'▁' if c == ' ' else c}", p) for p in pieces))
+        signs = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and not any(re.search(f"[{LETTERS}]{re.escape(c)}", p) for p in plain))
+        sign = f"(?![{re.escape(signs)}])" if signs else ""
+        body = rf"(?:[^\s{LETTERS}]*+[{LETTERS}]++{sign})*+[^\s{LETTERS}]*+[{LETTERS}]*+"
+        self.chunks = re.compile(rf"(?:\s+|(?=\S)){body}(?:[^\S{spaces}]\s*{body})*").findall
+        self.a_names, self.b_names = [f"{i}|" for i in range(len(self.a_bytes))], [str(i) for i in range(len(self.b_bytes))]
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.texts: list[str] = []
         self.size = 0
-        self.fine, self.n_a, self.n_b, self.n_groups, self.n_links = ([] for _ in range(5))
-        self.pairs: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
+        #: Of each chunk n_a, n_b, n_groups, n_links, whether both tokenizers give it back, and where its pairs start and end.
+        self.stats = _Rows(7)
+        self.pairs = _Rows(2)  #: (pair, times)
 
-    def numbers(self, texts: list[str]) -> list[list[int]]:
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """The chunks of each text, by number."""
         if len(self.known) > REMEMBERED or self.size > CHARACTERS:
             self.forget()
@@ -102,9 +111,10 @@ class Aligner:
         for k in range(0, len(new), 20_000):
             self._learn(new[k : k + 20_000])
         get = self.known.__getitem__
-        return [list(map(get, parts)) for parts in split]
+        return [np.fromiter(map(get, parts), np.int64, len(parts)) for parts in split]
 
     def _learn(self, chunks: list[str]) -> None:
+        n = len(chunks)
         raw = [c.encode() for c in chunks]
         a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
         # B puts a space before what it is given; other chunks are given behind a line feed, and both go again.
@@ -115,70 +125,77 @@ class Aligner:
                 if b[k][:2] != self.lead:
                     raise ValueError("the second tokenizer joins something with a line feed")
                 del b[k][:2]
-        flat_a, flat_b = (np.fromiter((i for ids in of for i in ids), np.int64) for of in (a, b))
-        sizes = np.array([len(x) for x in raw])
-        of_a, of_b = (np.repeat(np.arange(len(chunks)), [len(ids) for ids in x]) for x in (a, b))
-        fine = np.ones(len(chunks), bool)
-        for ids, of, names, size in ((flat_a, of_a, self.a_bytes, self.a_size), (flat_b, of_b, self.b_bytes, self.b_size)):
-            fine &= np.bincount(of, size[ids], len(chunks)).astype(np.int64) == sizes
-            if b"".join([names[i] for i in ids.tolist()]) != b"".join(raw):
-                bounds = np.searchsorted(of, np.arange(len(chunks) + 1))
-                for k in range(len(chunks)):
-                    fine[k] &= b"".join([names[i] for i in ids[bounds[k] : bounds[k + 1]].tolist()]) == raw[k]
+        counts_a, counts_b, sizes = (np.fromiter(map(len, x), np.int64, n) for x in (a, b, raw))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64, int(many.sum())) for x, many in ((a, counts_a), (b, counts_b)))
+        of_a, of_b = np.repeat(np.arange(n), counts_a), np.repeat(np.arange(n), counts_b)
+        fine, whole = np.ones(n, bool), b"".join(raw)
+        for ids, of, many, names, size in ((flat_a, of_a, counts_a, self.a_bytes, self.a_size), (flat_b, of_b, counts_b, self.b_bytes, self.b_size)):
+            fine &= np.bincount(of, size[ids], n).astype(np.int64) == sizes
+            if b"".join([names[i] for i in ids.tolist()]) != whole:
+                ends = np.cumsum(many)
+                for k in range(n):
+                    fine[k] &= b"".join([names[i] for i in ids[ends[k] - many[k] : ends[k]].tolist()]) == raw[k]
         keep_a, keep_b = fine[of_a], fine[of_b]
         flat_a, of_a, flat_b, of_b = flat_a[keep_a], of_a[keep_a], flat_b[keep_b], of_b[keep_b]
         # Offsets in the row of all chunks that are fine; each chunk's last offset ends a token of both.
         ends_a, ends_b = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
-        cuts = np.intersect1d(ends_a, ends_b)
+        cuts = ends_a[np.isin(ends_a, ends_b, assume_unique=True)]
         group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
         in_a, in_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
         chunk_of = np.zeros(len(cuts), np.int64)
         chunk_of[group_a] = of_a
-        n = len(chunks)
-        links = np.bincount(chunk_of, in_a * in_b, n).astype(np.int64) if len(cuts) else np.zeros(n, np.int64)
-        groups = np.bincount(chunk_of, minlength=n)
+        links = in_a * in_b
         from_a, from_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
-        first = np.searchsorted(chunk_of, np.arange(n + 1))
-        plain = ((in_a == 1) & (in_b == 1)).tolist()
-        list_a, list_b, at_a, at_b, many_a, many_b = flat_a.tolist(), flat_b.tolist(), from_a.tolist(), from_b.tolist(), in_a.tolist(), in_b.tolist()
-        for k, c in enumerate(chunks):
-            said, codes = [], []
-            for g in range(first[k], first[k + 1]):
-                if plain[g]:
-                    x, y = list_a[at_a[g]], list_b[at_b[g]]
-                    said.append(f"{x}|{y}")
-                    codes.append(x << SHIFT | y)
-                else:
-                    xs, ys = list_a[at_a[g] : at_a[g] + many_a[g]], list_b[at_b[g] : at_b[g] + many_b[g]]
-                    said.append(f"{','.join(map(str, xs))}|{','.join(map(str, ys))}")
-                    codes += _all_pairs(xs, ys)
-            pairs, times = _counted(codes)
-            self.known[c] = len(self.texts)
-            self.texts.append(";".join(said))
-            self.size += len(c)
-            self.pairs.append(pairs), self.times.append(times)
-        self.fine += fine.tolist()
-        self.n_a += np.bincount(of_a, minlength=n).tolist()
-        self.n_b += np.bincount(of_b, minlength=n).tolist()
-        self.n_groups += groups.tolist()
-        self.n_links += links.tolist()
-
-
-def _all_pairs(xs: list[int], ys: list[int]) -> list[int] | list[tuple[int, int]]:
-    if len(xs) * len(ys) <= 4096:
-        return [x << SHIFT | y for x in xs for y in ys]
-    # A long row of tokens without a common end: its ids are few, its links are counted.
-    (ux, cx), (uy, cy) = np.unique(xs, return_counts=True), np.unique(ys, return_counts=True)
-    return [(int(x) << SHIFT | int(y), int(m) * int(n)) for x, m in zip(ux, cx, strict=True) for y, n in zip(uy, cy, strict=True)]
-
-
-def _counted(codes: list) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs, times) of a chunk."""
-    seen: dict[int, int] = {}
-    for c in codes:
-        c, n = c if isinstance(c, tuple) else (c, 1)
-        seen[c] = seen.get(c, 0) + n
-    return np.fromiter(seen.keys(), np.int64, len(seen)), np.fromiter(seen.values(), np.int64, len(seen))
+        self._texts(n, flat_a.tolist(), flat_b.tolist(), in_a, in_b, from_a, from_b, chunk_of)
+        # All pairs of a group; of a very large group, a long row of tokens without a common end, the few distinct ones.
+        large = links > LARGE
+        made = np.where(large, 0, links)
+        g = np.repeat(np.arange(len(cuts)), made)
+        at = np.arange(len(g)) - np.repeat(np.cumsum(made) - made, made)
+        pairs = flat_a[from_a[g] + at // in_b[g]] << SHIFT | flat_b[from_b[g] + at % in_b[g]]
+        times, of = np.ones(len(pairs), np.int64), chunk_of[g]
+        for k in np.flatnonzero(large):
+            (xs, cx), (ys, cy) = (np.unique(flat[lo : lo + many], return_counts=True) for flat, lo, many in ((flat_a, from_a[k], in_a[k]), (flat_b, from_b[k], in_b[k])))
+            pairs = np.concatenate([pairs, (xs[:, None] << SHIFT | ys[None]).ravel()])
+            times = np.concatenate([times, (cx[:, None] * cy[None]).ravel()])
+            of = np.concatenate([of, np.full(len(xs) * len(ys), chunk_of[k])])
+        if large.any():
+            order = np.argsort(of, kind="stable")
+            pairs, times, of = pairs[order], times[order], of[order]
+        each = np.bincount(of, minlength=n)
+        first = self.pairs.n + np.cumsum(each) - each
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + n), strict=True))
+        self.size += sum(map(len, chunks))
+        self.stats.add(np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n), np.bincount(chunk_of, minlength=n), np.bincount(chunk_of, links, n).astype(np.int64), fine, first, first + each)
+        self.pairs.add(pairs, times)
+
+    def _texts(self, n: int, ids_a: list[int], ids_b: list[int], in_a: np.ndarray, in_b: np.ndarray, from_a: np.ndarray, from_b: np.ndarray, chunk_of: np.ndarray) -> None:
+        """The groups of each chunk, written out."""
+        name_a, name_b = self.a_names, self.b_names
+        said = []
+        for k, m, x, y in zip(in_a.tolist(), in_b.tolist(), from_a.tolist(), from_b.tolist(), strict=True):
+            if k == 1:
+                left = name_a[ids_a[x]]
+            else:
+                left = ",".join(map(str, ids_a[x : x + k])) + "|"
+            said.append(left + name_b[ids_b[y]] if m == 1 else left + ",".join([name_b[i] for i in ids_b[y : y + m]]))
+        bounds = np.searchsorted(chunk_of, np.arange(n + 1)).tolist()
+        self.texts += [";".join(said[lo:hi]) for lo, hi in zip(bounds, bounds[1:], strict=False)]
+
+
+class _Rows:
+    """Columns of whole numbers that grow."""
+
+    def __init__(self, width: int):
+        self.data, self.n = np.zeros((width, 1 << 10), np.int64), 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        more = len(columns[0])
+        if self.n + more > self.data.shape[1]:
+            self.data = np.concatenate([self.data, np.zeros((len(self.data), max(more, self.data.shape[1] // 2)), np.int64)], axis=1)
+        for row, column in zip(self.data, columns, strict=True):
+            row[self.n : self.n + more] = column
+        self.n += more
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -341,16 +358,17 @@ def spill(docs: DataFrame, a_file: str, b_file: str, radix: int = RADIX, records
     return df.mapInArrow(run, schema)
 
 
-def _document(known: Aligner, chunks: list[int]) -> tuple[tuple[int, int, int, int], str, np.ndarray, np.ndarray] | None:
+def _document(known: Aligner, chunks: np.ndarray) -> tuple[tuple[int, ...], str, np.ndarray, np.ndarray] | None:
     """((n_a, n_b, n_groups, n_links), digest of the groups, pairs, times); a pair may stand there several times."""
-    numbers, counts = np.unique(np.array(chunks, np.int64), return_counts=True)
-    each, fine = numbers.tolist(), known.fine
-    if not all([fine[c] for c in each]):
+    numbers, counts = np.unique(chunks, return_counts=True)
+    stats = known.stats.data[:, numbers]
+    if not stats[4].all():
         return None
-    totals = tuple(int(np.dot([of[c] for c in each], counts)) for of in (known.n_a, known.n_b, known.n_groups, known.n_links))
-    sha = hashlib.sha256(";".join([known.texts[c] for c in chunks]).encode()).hexdigest()
-    pairs, times = [known.pairs[c] for c in each], [known.times[c] for c in each]
-    return totals, sha, np.concatenate(pairs), np.concatenate(times) * np.repeat(counts, [len(p) for p in pairs])
+    texts = known.texts
+    sha = hashlib.sha256(";".join([texts[c] for c in chunks.tolist()]).encode()).hexdigest()
+    each = stats[6] - stats[5]
+    at = np.arange(each.sum()) + np.repeat(stats[5] - (np.cumsum(each) - each), each)
+    return tuple((stats[:4] @ counts).tolist()), sha, known.pairs.data[0, at], known.pairs.data[1, at] * np.repeat(counts, each)
 
 
 def _merge_group(table: pa.Table, last: bool) -> tuple[bytes, bytes, bytes | None]:
