@@ -345,18 +345,6 @@ def test_adjusted_rand_and_quality(spark):
     assert q["silhouette"] > 0.85 and q["calinski_harabasz"] == pytest.approx(200.0) and q["davies_bouldin"] == pytest.approx(0.1)
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from popshift.streaming import periods
-
-    src = str(tmp_path / "events")
-    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(3).write.parquet(src)
-    periods.run_stream(spark, src, "2024-01-11 00:00:00", str(tmp_path / "out"), str(tmp_path / "cp"))
-    got = {r.period: (r.n, round(r.psi, 9)) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    events = spark.read.parquet(src)
-    want = {r.period: (r.n, round(r.psi, 9)) for r in periods.drift(periods.windowed(events), periods.baseline(events, "2024-01-11 00:00:00")).collect()}
-    assert got and all(want[k] == v for k, v in got.items()) and len(want) - len(got) <= 2  # the last windows stay open
-
-
 def test_sources(spark, tmp_path):
     from popshift.sources import tables
 
