@@ -151,7 +151,19 @@ def supervised_bins(spark, sf_dir):
 
 @query("feature_binning")
 def feature_binning(spark, sf_dir):
-    return searched(spark, sf_dir, lambda pop: gen.feature_binning(pop, ROLES, replace(CFG, top_n=20)).select("technique", "segment_definition", "n_dev", "n_mon", "psi", "delta_br", "delta_gini", "delta_ece", "auc_p_adj", "ks_p_adj", "br_p_adj", "ece_p_adj", "min_p_adj", "significant", "deterioration_score", "final_score", "rank"))
+    return searched(spark, sf_dir, lambda pop: gen.feature_binning(pop, ROLES, replace(CFG, top_n=20, resampling="multinomial")).select("technique", "segment_definition", "n_dev", "n_mon", "psi", "delta_br", "delta_gini", "delta_ece", "auc_p_adj", "ks_p_adj", "br_p_adj", "ece_p_adj", "min_p_adj", "significant", "deterioration_score", "final_score", "rank"))
+
+
+@query("bootstrap_intervals")
+def bootstrap_intervals(spark, sf_dir):
+    """Intervals of each market segment's changes from resamples of n rows out of n, on both sides."""
+    def search(pop):
+        rules = rl.atomic_rules(rl.atomic_predicates(pop.where("side = 0"), [], ["c_mktsegment"]))
+        named = spark.createDataFrame([(r.cand_id, r.label()) for r in rules], "cand_id int, segment_definition string")
+        found = gen.bootstrap(pop, rules, ROLES, replace(CFG, resampling="multinomial"))
+        return found.join(F.broadcast(named), "cand_id").select("segment_definition", "metric", "lower", "upper", "p")
+
+    return searched(spark, sf_dir, search)
 
 
 @query("calibration_shift")
