@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -82,3 +85,27 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 def lower_ascii(col):
     """A-Z lower-cased, and nothing else."""
     return F.translate(col, UPPER, LOWER)
+
+
+def share_arrays(spark: SparkSession, arrays: dict[str, np.ndarray], tag: str) -> str:
+    """Sends arrays to each executor once, as a file; the name under which tasks find it."""
+    sc, name = spark.sparkContext, f"{tag}-{uuid.uuid4().hex}"
+    head, at = {}, 0
+    for k, a in arrays.items():
+        head[k] = (a.dtype.str, len(a), at)
+        at += -(-a.nbytes // 16) * 16
+    said = json.dumps(head).encode()
+    with open(path := os.path.join(sc._temp_dir, name), "wb") as f:  # the driver's own folder, from which Spark serves the file until the session ends
+        f.write(len(said).to_bytes(16, "little") + said.ljust(-(-len(said) // 16) * 16))
+        for a in arrays.values():
+            f.write(a.tobytes().ljust(-(-a.nbytes // 16) * 16, b"\0"))
+    sc.addFile(path)
+    return name
+
+
+def mapped_arrays(path: str) -> dict[str, np.ndarray]:
+    """Views of the executor's file: all its tasks map the same pages."""
+    whole = np.memmap(path, np.uint8, "r").view(np.ndarray)
+    size = int.from_bytes(whole[:16].tobytes(), "little")
+    start = 16 + -(-size // 16) * 16
+    return {k: whole[start + at : start + at + n * np.dtype(kind).itemsize].view(kind) for k, (kind, n, at) in json.loads(whole[16 : 16 + size].tobytes()).items()}
