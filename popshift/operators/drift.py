@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from popshift.functions.buckets import psi_floored, psi_term, quantiles, right_closed, suite_label
+from popshift.functions.buckets import psi_floored, psi_term, right_closed, suite_label
+from popshift.operators import ranks
 from popshift.operators.quality import numeric_long, profile, text_long
 
 TINY = 1e-6
@@ -47,10 +48,11 @@ def _counts(df: DataFrame, *keys: str) -> DataFrame:
 
 def csi(df: DataFrame, columns: list[str], stable: float = 0.10, shift: float = 0.25) -> DataFrame:
     """PSI over the baseline's nine decile cuts; an empty bucket counts as 1e-6."""
-    long = numeric_long(df, columns).where("v is not null")
-    cuts = long.where("side = 0").groupBy("name").agg(quantiles(F.col("v"), [round(0.1 * i, 1) for i in range(1, 10)]).alias("cuts"))
-    binned = long.join(F.broadcast(cuts), "name").withColumn("bucket", right_closed(F.col("v"), F.col("cuts")))
-    shares = _share(_counts(binned, "name", "bucket"), ["name"])
+    hist = ranks.histogram(numeric_long(df, columns).where("v is not null"), ["side", "name"])
+    cuts = ranks.quantiles_of(hist.where("side = 0"), ["name"], [round(0.1 * i, 1) for i in range(1, 10)]).select("name", F.col("q").alias("cuts"))
+    binned = hist.join(F.broadcast(cuts), "name").withColumn("bucket", right_closed(F.col("v"), F.col("cuts")))
+    total = lambda s: F.coalesce(F.sum(on(s, F.col("n"))), F.lit(0)).alias(f"n{s}")
+    shares = _share(binned.groupBy("name", "bucket").agg(total(0), total(1)), ["name"])
     tiny = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(TINY)
     psi = F.round(F.sum(psi_term(tiny("p0"), tiny("p1"))), 4)
     return shares.groupBy(F.col("name").alias("feature")).agg(psi.alias("csi")).withColumn("label", suite_label(F.col("csi"), stable, shift))
@@ -74,8 +76,8 @@ def entropy(df: DataFrame, columns: list[str]) -> DataFrame:
 def five_point_ks(df: DataFrame, columns: list[str], stable: float = 0.10, shift: float = 0.20) -> DataFrame:
     """Largest gap between the cumulative shares at the baseline's minimum, quartiles and maximum."""
     points = [0.0, 0.25, 0.5, 0.75, 1.0]
-    long = numeric_long(df, columns).where("v is not null")
-    q = long.groupBy("name").agg(quantiles(on(0, F.col("v")), points).alias("d"), quantiles(on(1, F.col("v")), points).alias("m"))
+    hist = ranks.histogram(numeric_long(df, columns).where("v is not null"), ["side", "name"])
+    q = ranks.quantiles_of(hist, ["side", "name"], points).groupBy("name").agg(F.max(on(0, F.col("q"))).alias("d"), F.max(on(1, F.col("q"))).alias("m"))
 
     def monitored(x: Column) -> Column:
         j = F.size(F.filter("m", lambda e: e <= x))

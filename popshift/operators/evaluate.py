@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from popshift.functions.buckets import EPS, interior, psi_floored, psi_term, right_closed
 from popshift.functions.special import ks_survival, normal_two_sided
+from popshift.operators import ranks
 from popshift.operators.rules import Rule, members, with_hits
 from popshift.sources.staging import staged
 
@@ -146,12 +147,13 @@ def value_counts(m: DataFrame, roles: Roles, key: str = "cand_id") -> DataFrame:
 def feature_drift(counts: DataFrame, key: str = "cand_id", max_levels: int = 20) -> DataFrame:
     """(candidate, kind, name, psi, delta): deciles of both sides together for numbers, levels for text.
 
-    Attributions with few values are treated as levels. Features with under five values on a side are skipped.
+    counts are read several times: a written table. Attributions with few values are treated as levels. Features with under five values on a side are skipped.
     """
     by = [key, "kind", "name"]
     some = F.col("n0") + F.col("n1")
-    stats = counts.groupBy(by).agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count("v").alias("card"), F.percentile("v", F.array(*[F.lit(round(0.1 * i, 1)) for i in range(11)]), some).alias("q"), F.sum(F.col("v") * F.col("n0")).alias("s0"), F.sum(F.col("v") * F.col("n1")).alias("s1"))
-    stats = stats.withColumns({"levels": (F.col("kind") == "T") | ((F.col("kind") == "A") & (F.col("card") <= max_levels)), "edges": interior(F.col("q"))}).drop("q", "card")
+    stats = counts.groupBy(by).agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count("v").alias("card"), F.sum(F.col("v") * F.col("n0")).alias("s0"), F.sum(F.col("v") * F.col("n1")).alias("s1"))
+    q = ranks.quantiles_of(counts.select(*by, "v", some.alias("n")), by, [round(0.1 * i, 1) for i in range(11)]).select(*by, "q")
+    stats = stats.join(q, by, "left").withColumns({"levels": (F.col("kind") == "T") | ((F.col("kind") == "A") & (F.col("card") <= max_levels)), "edges": interior(F.col("q"))}).drop("q", "card")
     j = counts.join(stats, by)
     bucket = F.when(F.col("levels"), F.coalesce("t", F.col("v").cast("string"))).otherwise(right_closed(F.col("v"), F.col("edges")).cast("string"))
     g = j.groupBy(*by, bucket.alias("bucket")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *[F.first(c).alias(c) for c in ("t0", "t1", "levels", "s0", "s1")], F.first(F.size("edges") + 1).alias("k"))
@@ -301,7 +303,7 @@ def evaluate_hits(rows: DataFrame, roles: Roles, totals: Totals, key: str = "can
 
 def evaluate_members(m: DataFrame, roles: Roles, totals: Totals, key: str = "cand_id") -> DataFrame:
     """Measures of the groups that a column of any type names, a row for each member."""
-    return measured(score_histogram(m, roles, key), value_counts(m, roles, key), roles, totals, key)
+    return measured(score_histogram(m, roles, key), staged(value_counts(m, roles, key), "counts"), roles, totals, key)
 
 
 def evaluate(df: DataFrame, rules: list[Rule], roles: Roles, totals: Totals) -> DataFrame:

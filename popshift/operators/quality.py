@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from popshift.functions.buckets import quantiles
+from popshift.operators import ranks
 
 
 def numeric_long(df: DataFrame, columns: Iterable[str], ids: Iterable[str] = ("side",)) -> DataFrame:
@@ -31,21 +31,26 @@ def _corrected(n: Column, skew: Column, kurt: Column) -> tuple[Column, Column]:
 def profile(df: DataFrame, numeric: list[str], text: list[str], ids: tuple[str, ...] = ("side",)) -> DataFrame:
     """One row per column (and side): counts, completeness, uniqueness, moments, quartiles, values beyond 1.5 IQR.
 
-    One pass over the unpivoted values with partial aggregation, and a second one for the fences, which are one row
-    per column and so are broadcast.
+    The rows are read once, for counts by distinct value; everything else comes from those. What is broadcast is a row for each
+    column and side.
     """
     keys = [*ids, "name"]
-    n = F.count("v").cast("double")
-    g1, g2 = _corrected(n, F.skewness("v"), F.kurtosis("v"))
-    shared = [F.count_distinct("v").alias("cardinality_count"), (F.count("*") - F.count("v")).alias("missing_count"), (100.0 * F.count("v") / F.count("*")).alias("completeness_pct"), (100.0 * F.count_distinct("v") / F.greatest(F.count("v"), F.lit(1))).alias("uniqueness_pct")]
-    long = numeric_long(df, numeric, ids)
-    q = quantiles(F.col("v"), [0.25, 0.5, 0.75])
-    num = long.groupBy(keys).agg(*shared, F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), g1.alias("skewness"), g2.alias("kurtosis"), q.alias("q"))
-    num = num.select(*keys, F.lit(1).alias("type"), *[c for c in num.columns if c not in (*keys, "q")], *[F.get("q", i).alias(k) for i, k in enumerate(("q25", "q50", "q75"))])
-    fences = num.select(*keys, (F.col("q25") - 1.5 * (F.col("q75") - F.col("q25"))).alias("lo"), (F.col("q75") + 1.5 * (F.col("q75") - F.col("q25"))).alias("hi"))
-    beyond = long.join(F.broadcast(fences), keys).groupBy(keys).agg(F.count_if((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi"))).alias("n_outliers"))
-    num = num.join(F.broadcast(beyond), keys)
-    txt = text_long(df, text, ids).groupBy(keys).agg(*shared).withColumn("type", F.lit(2)).withColumn("n_outliers", F.lit(0).cast("long"))
+    rows = F.sum("n")
+    valid = F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0))
+    shared = [F.count("v").alias("cardinality_count"), (rows - valid).alias("missing_count"), (100.0 * valid / rows).alias("completeness_pct"), (100.0 * F.count("v") / F.greatest(valid, F.lit(1))).alias("uniqueness_pct")]
+    hist = ranks.histogram(numeric_long(df, numeric, ids), keys)
+    num = hist.groupBy(keys).agg(*shared, valid.cast("double").alias("_n"), (F.sum(F.col("v") * F.col("n")) / F.nullif(valid, F.lit(0))).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"))
+    gap = F.col("v") - F.col("mean")
+    moments = hist.where("v is not null").join(F.broadcast(num.select(*keys, "mean")), keys).groupBy(keys).agg(*[F.sum(F.col("n") * F.pow(gap, F.lit(k))).alias(f"_m{k}") for k in (2, 3, 4)])
+    q = ranks.quantiles_of(hist, keys, [0.25, 0.5, 0.75]).select(*keys, *[F.get("q", i).alias(k) for i, k in enumerate(("q25", "q50", "q75"))])
+    fences = q.select(*keys, (F.col("q25") - 1.5 * (F.col("q75") - F.col("q25"))).alias("lo"), (F.col("q75") + 1.5 * (F.col("q75") - F.col("q25"))).alias("hi"))
+    beyond = hist.join(F.broadcast(fences), keys).groupBy(keys).agg(F.coalesce(F.sum(F.when((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi")), F.col("n"))), F.lit(0)).alias("n_outliers"))
+    n, m2 = F.col("_n"), F.nullif("_m2", F.lit(0.0))
+    g1, g2 = _corrected(n, F.sqrt(n) * F.col("_m3") / F.pow(m2, F.lit(1.5)), n * F.col("_m4") / (m2 * m2) - 3.0)
+    num = num.join(F.broadcast(moments), keys, "left").join(F.broadcast(q), keys, "left").join(F.broadcast(beyond), keys, "left")
+    num = num.select(*keys, F.lit(1).alias("type"), "cardinality_count", "missing_count", "completeness_pct", "uniqueness_pct", "mean", F.when(n > 1, F.sqrt(F.col("_m2") / (n - 1))).alias("std"), "min", "max", g1.alias("skewness"), g2.alias("kurtosis"), "q25", "q50", "q75", F.coalesce("n_outliers", F.lit(0)).alias("n_outliers"))
+    counted = text_long(df, text, ids).groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    txt = counted.groupBy(keys).agg(*shared).withColumn("type", F.lit(2)).withColumn("n_outliers", F.lit(0).cast("long"))
     return num.unionByName(txt, allowMissingColumns=True)
 
 

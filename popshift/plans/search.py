@@ -195,5 +195,5 @@ def shap_detail(spark, sf_dir):
     from popshift.sources.population import SHAP
 
     m = population(spark, sf_dir).withColumn("cand_id", c("c_mktsegment"))
-    d = ev.feature_drift(ev.value_counts(m, ev.Roles(shap=tuple(SHAP))))
+    d = ev.feature_drift(staged(ev.value_counts(m, ev.Roles(shap=tuple(SHAP))), "counts"))
     return rounded(d.select(c("cand_id").alias("segment"), "name", "delta"))
