@@ -56,11 +56,26 @@ def half_year(date: Column) -> Column:
     return F.ceil(F.month(date) / 6)
 
 
+#: Digits of a hash by which a stratum's rows are counted.
+PREFIX = 4
+
+
 def stratified(df: DataFrame, stratum: str, share: float, key: str) -> DataFrame:
-    """Exactly ceil(share * n) rows of each stratum, drawn by a hash of the key. The sample is the feature here."""
-    w = Window.partitionBy(stratum)
-    ranked = df.withColumns({"_n": F.count("*").over(w), "_k": F.row_number().over(w.orderBy(F.md5(F.col(key).cast("string")), key))})
-    return ranked.where(F.col("_k") <= F.ceil(share * F.col("_n"))).drop("_n", "_k")
+    """Exactly ceil(share * n) rows of each stratum, those with the smallest hashes of the key. The sample is the feature here.
+
+    Counts by the hash's first digits say at which prefix a stratum's sample ends: rows below it are in, and only those with
+    this very prefix, one in 16 ** PREFIX, are put in order.
+    """
+    h = F.md5(F.col(key).cast("string"))
+    rows = df.withColumns({"_h": h, "_p": F.coalesce(F.substring(h, 1, PREFIX), F.lit(""))})
+    counts = rows.groupBy(F.col(stratum).alias("_s"), F.col("_p").alias("_last")).agg(F.count("*").alias("_m"))
+    w = Window.partitionBy("_s")
+    counts = counts.withColumns({"_quota": F.ceil(share * F.sum("_m").over(w)), "_upto": F.sum("_m").over(w.orderBy("_last"))})
+    ends = counts.where((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_m") < F.col("_quota"))).select("_s", "_last", (F.col("_quota") - F.col("_upto") + F.col("_m")).alias("_left"))
+    near = rows.join(ends, F.col(stratum).eqNullSafe(F.col("_s"))).where(F.col("_p") <= F.col("_last"))
+    below = near.where(F.col("_p") < F.col("_last")).select(df.columns)
+    at = near.where(F.col("_p") == F.col("_last")).withColumn("_k", F.row_number().over(Window.partitionBy("_s").orderBy("_h", key)))
+    return below.unionByName(at.where(F.col("_k") <= F.col("_left")).select(df.columns))
 
 
 def reconcile(left: DataFrame, right: DataFrame, left_key: Column, right_key: str, agree: Mapping[str, Column]) -> DataFrame:
