@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from popshift.functions.buckets import psi_floored
@@ -80,6 +82,10 @@ def trend_series(spark, sf_dir):
     return rounded(out.withColumn("period_index", c("period_index").cast("long")).select("technique", "segment_definition", "period", "period_index", "root_cause_score", "sis_raw"))
 
 
+def forecast_sql(alert: float, horizon: int) -> str:
+    return FORECAST_SQL.replace("0.5 - ic", f"{alert} - ic").replace("cur < 0.5", f"cur < {alert}").replace("mo <= 6", f"mo <= {horizon}")
+
+
 FORECAST_SQL = """fg AS (SELECT technique, segment_definition, count(*) AS n, regr_slope(root_cause_score, period_index) AS sl, regr_intercept(root_cause_score, period_index) AS ic, regr_r2(root_cause_score, period_index) AS r2, max(period_index) AS last, arg_max(root_cause_score, period_index) AS cur, arg_max(period, period_index) AS lp FROM app GROUP BY ALL HAVING count(*) >= 2),
 fb AS (SELECT *, ceil(round_even((0.5 - ic) / nullif(sl, 0) - last, 6)) AS mo FROM fg),
 fo AS (SELECT technique, segment_definition, n AS periods_used, lp AS last_appeared_period, round_even(cur, 4) AS current_root_cause_score, round_even(least(1.0, greatest(0.0, sl * (last + 1) + ic)), 4) AS predicted_next_root_cause_score, round_even(sl, 5) AS trend_slope, CASE WHEN n > 2 THEN round_even(r2, 4) END AS r_squared, CASE WHEN sl > 0 AND cur < 0.5 AND mo > 0 AND mo <= 6 THEN CAST(mo AS INTEGER) END AS months_to_breach, CASE WHEN n = 2 THEN 'Low (2 points)' ELSE 'Medium (3+ points)' END AS confidence FROM fb)"""
@@ -101,6 +107,15 @@ def early_warnings(spark, sf_dir):
     return report.early_warnings(trend.forecast(_appeared(spark, sf_dir)[1], CFG)).select("technique", "segment_definition", "months_to_breach", "predicted_next_root_cause_score")
 
 
+#: The highest score as the alert and a horizon without end: every segment whose score rises is a warning.
+SENSITIVE = replace(CFG, alert=1.0, horizon=1200)
+
+
+@query("early_warnings_sensitive", HISTORY_SQL + ", " + forecast_sql(SENSITIVE.alert, SENSITIVE.horizon) + " SELECT technique, segment_definition, months_to_breach, predicted_next_root_cause_score FROM fo WHERE months_to_breach IS NOT NULL ORDER BY months_to_breach, predicted_next_root_cause_score DESC, technique, segment_definition LIMIT 10")
+def early_warnings_sensitive(spark, sf_dir):
+    return report.early_warnings(trend.forecast(_appeared(spark, sf_dir)[1], SENSITIVE)).select("technique", "segment_definition", "months_to_breach", "predicted_next_root_cause_score")
+
+
 @query("trend_kpis", HISTORY_SQL + ", " + TREND_SQL + ", " + FORECAST_SQL + " SELECT 'rca_max_trend_impact' AS kpi_id, CAST(coalesce(max(trend_impact_score), 0) AS DOUBLE) AS kpi_value FROM ts UNION ALL SELECT 'rca_n_early_warning', CAST(count(months_to_breach) AS DOUBLE) FROM fo UNION ALL SELECT 'rca_max_trend_slope', greatest(0.0, coalesce(max(trend_slope), 0)) FROM fo UNION ALL SELECT 'rca_min_months_to_breach', CAST(coalesce(min(months_to_breach), 6) AS DOUBLE) FROM fo")
 def trend_kpis(spark, sf_dir):
     h, a = _appeared(spark, sf_dir)
