@@ -8,8 +8,8 @@ Rejection is calibrated on what lies outside the learned languages. A text's evi
 above the next one: n-grams that training never saw carry none. Foreign texts for the calibration are those of each language
 under a model trained without it (leave one language out), texts with their characters shuffled, and texts written over in
 random scripts, all from documents of the learning folds. The threshold lies midway between the evidence that one in a hundred
-foreign texts reaches and that which all but REJECTED of the own texts reach; where these overlap, the latter decides, so clean
-texts stay. The score is the softmax's probability among the learned languages; evidence alone decides on rejection.
+foreign texts reaches and that which all but REJECTED of the own texts reach; where these overlap, half of the latter decides, so
+that clean texts stay, also such as mix two languages. The score is the softmax's probability among the learned languages; evidence alone decides on rejection.
 
 Training is bounded: about PER_LANG labelled documents of each language, and IN_ALL over all languages, drawn by a hash of their
 doc_id from those whose crc32(doc_id) mod 5 is not 0; a quarter of them calibrates, and LEFT_OUT languages at most are left out
@@ -170,7 +170,7 @@ def train(samples: list[Sample], foreign: list[Sample] = (), seed: int = SEED) -
         outside.append(evidence(_logits(without, [s for s in held if s[0] == lang])))
     low = float(own[int(REJECTED * len(own))])
     high = float(np.quantile(np.concatenate(outside), 0.99)) if outside else low
-    model.threshold = (low + high) / 2 if high < low else low
+    model.threshold = (low + high) / 2 if high < low else low / 2
     return model
 
 
