@@ -15,15 +15,18 @@ whole; repeated rows get one row each.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
 import os
 import re
+import struct
 import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +36,33 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from popshift.llm.common import column, discard, read, small_batches, staged
 
-#: Words that are compiled, at most; the rest is merged. They are the frequent ones of about SAMPLE texts.
-LEXICON, SAMPLE = 50_000, 20_000
+#: Words that are compiled, at most; the rest is merged. They are the most frequent ones of all texts.
+LEXICON = 50_000
 #: Entries that a task keeps at once.
 COUNTED, REMEMBERED = 400_000, 500_000
+#: Characters of texts whose chunks a counting task holds at once, at most, but for the last text.
+HELD = 16 << 20
+#: Bytes of the longest word that is compiled.
 LONGEST = 24
+#: Words that are merged together, so that their arrays stay in a core's cache.
+BLOCK = 4_096
 _ODD = re.compile("[\x1c-\x1f]")
 
 _SPACE = r"\t-\r \x85\xa0  -     　"
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without cyclic garbage collection: tasks hold many small tuples and lists, none in a cycle, and scanning them is slow."""
+    enabled = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if enabled:
+            gc.enable()
+
+
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -69,6 +89,13 @@ class Tokenizer:
         chars = byte_characters()
         self.inner = [self.vocab.get(c) for c in chars]
         self.last = [self.vocab.get(c + self.suffix) for c in chars]
+        # The same for many words at once; `absent` is no token's id, and a pair with it has no rank.
+        self.absent = max(self.tokens, default=0) + 1
+        self._first, self._final = (np.array([self.absent if i is None else i for i in x]) for x in (self.inner, self.last))
+        pairs = np.array([a * (self.absent + 1) + b for a, b in self.ranks] or [-1])
+        order = np.argsort(pairs)
+        self._pairs, self._rank_of = pairs[order], np.array(list(self.ranks.values()) or [self.never])[order]
+        self._made = np.array(self.made or [0])
 
     def words(self, text: str) -> list[str | int]:
         """Pre-tokens in order; a special token is its id."""
@@ -99,6 +126,51 @@ class Tokenizer:
         ids = [i for i in [*(self.inner[b] for b in word[:-1]), self.last[word[-1]]] if i is not None]
         return self._by_heap(ids) if len(ids) > 40 else self._by_scan(ids)
 
+    def merge_all(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each of many words of 1 to LONGEST bytes: every round makes each word's next merge."""
+        return [ids for at in range(0, len(words), BLOCK) for ids in self._block(words[at : at + BLOCK])]
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a * (self.absent + 1) + b
+        at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
+        return np.where(self._pairs[at] == key, self._rank_of[at], self.never)
+
+    def _block(self, words: list[bytes]) -> list[list[int]]:
+        sizes, n = np.array([len(w) for w in words]), len(words)
+        end, every = int(sizes.max()), np.arange(n)
+        # A row a position, a column a word; row `end` stands for what is before the first and after the last one.
+        letters = np.frombuffer(b"".join(w.ljust(end, b"\0") for w in words), np.uint8).reshape(n, end).T
+        place = np.arange(end + 1)[:, None]
+        ids = np.full((end + 1, n), self.absent)
+        ids[:end] = np.where(place[:end] < sizes, self._first[letters], self.absent)
+        ids[sizes - 1, every] = self._final[letters[sizes - 1, every]]
+        after = np.where(place + 1 < sizes, place + 1, end)
+        before = np.where(place > 0, place - 1, end) + np.zeros((1, n), np.int64)
+        # (rank, position) of each pair as one number: the least is the lowest rank, the leftmost on ties.
+        never = self.never * (LONGEST + 1)
+        pairs = np.full((end + 1, n), never)
+        at, word = np.nonzero(place + 1 < sizes)
+        rank = self._ranks(ids[at, word], ids[at + 1, word])
+        pairs[at, word] = np.where(rank < self.never, rank * (LONGEST + 1) + at, never)
+        while True:
+            best = pairs.min(axis=0)
+            word = np.flatnonzero(best < never)
+            if not len(word):
+                break
+            rank, at = np.divmod(best[word], LONGEST + 1)
+            gone = after[at, word]
+            right, left = after[gone, word], before[at, word]
+            ids[at, word], ids[gone, word] = self._made[rank], self.absent
+            after[at, word], before[right, word] = right, at
+            pairs[gone, word] = never
+            for x, y in ((left, at), (at, right)):
+                rank = self._ranks(ids[x, word], ids[y, word])
+                pairs[x, word] = np.where(rank < self.never, rank * (LONGEST + 1) + x, never)
+        word, at = np.nonzero((ids != self.absent).T)
+        ends = np.cumsum(np.bincount(word, minlength=n)).tolist()
+        flat = ids[at, word].tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
     def _by_scan(self, ids: list[int]) -> list[int]:
         get, never = self.ranks.get, self.never
         ranks = [get(pair, never) for pair in zip(ids, ids[1:], strict=False)]
@@ -137,7 +209,7 @@ class Tokenizer:
             ids = [word]
         elif ids is None:
             ids = self.merge(word.encode("utf-8", "replace"))
-        return np.array(ids, "<u4").tobytes(), " ".join(self.tokens[i] for i in ids)
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.tokens[i] for i in ids])
 
 
 class Lexicon:
@@ -249,49 +321,59 @@ class Lexicon:
 
 
 def word_counts(docs: DataFrame, tokenizer_json: str) -> DataFrame:
-    """(word, n) of all pre-tokens of all texts."""
+    """(word, n) of the pre-tokens of all texts, as far as they fit the lexicon (LONGEST bytes)."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, seen = Tokenizer(sent.value), Counter()
+        t, seen, chunks, held = Tokenizer(sent.value), {}, Counter(), 0
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "replace") for w in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-        for batch in batches:
-            chunks = Counter()
-            for x in column(batch, "text"):
-                text = x.as_py() or ""
-                found = t.chunks(text)
-                if found is None:
-                    seen.update(w for w in t.words(text) if isinstance(w, str) and len(w) <= LONGEST)
-                else:
-                    chunks.update(found)
+        def add(words: list[str | int], n: int) -> None:
+            for w in words:
+                if isinstance(w, str) and len(w) <= LONGEST:
+                    seen[w] = seen.get(w, 0) + n
+
+        def split() -> None:
             for chunk, n in chunks.items():
-                for w in t.words(chunk):
-                    if len(w) <= LONGEST:
-                        seen[w] += n
-            if len(seen) > COUNTED:
-                yield out()
-                seen = Counter()
-        yield out()
-
-    parts = docs.select("text").mapInArrow(count, "word binary, n long")
+                add(t.words(chunk), n)
+            chunks.clear()
+
+        def out() -> pa.RecordBatch:
+            words = [w.encode("utf-8", "replace") for w in seen]
+            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            seen.clear()
+            return batch
+
+        with uncollected():
+            for batch in batches:
+                for text in column(batch, "text").to_pylist():
+                    found = t.chunks(text or "")
+                    if found is None:
+                        add(t.words(text), 1)
+                    else:
+                        chunks.update(found)
+                        held += len(text or "")
+                    if len(chunks) > COUNTED or held > HELD:
+                        split()
+                        held = 0
+                    if len(seen) > COUNTED:
+                        yield out()
+            split()
+            yield out()
+
+    parts = docs.select("text").mapInArrow(count, "word binary, n long").where(F.octet_length("word") <= LONGEST)
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def compile_lexicon(docs: DataFrame, tokenizer_json: str, size: int = LEXICON, sample: int = SAMPLE) -> Lexicon:
-    """From the most frequent words, at most `size`, of about `sample` texts drawn by a hash of doc_id.
+def compile_lexicon(docs: DataFrame, tokenizer_json: str, size: int = LEXICON) -> Lexicon:
+    """From the most frequent words of all texts, at most `size`; of words that are equally frequent all or none.
 
-    Any lexicon gives the same ids, so the sample decides about speed alone. The least frequency is found from how many words
-    have which frequency, so only words of the lexicon reach the driver.
+    The least frequency is found from how many words have which frequency, of which `size` + 1 always suffice, so only words of
+    the lexicon and as many numbers reach the driver.
     """
-    total = docs.count()
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, total))))
-    counted = staged(word_counts(drawn, tokenizer_json).where(F.octet_length("word") <= LONGEST), "bpe-words")
+    counted = staged(word_counts(docs, tokenizer_json), "bpe-words")
     least, words = 1, 0
-    for r in counted.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():
+    for r in counted.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(size + 1).collect():
         words += r["words"]
         if words > size:
             least = r["n"] + 1
@@ -313,7 +395,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """(ids, decoded text) of each text."""
         split = [self.tokenizer.chunks(t) if t else [] for t in texts]
-        new = {c: self.tokenizer.words(c) for c in {c for parts in split if parts for c in parts} - self.chunks.keys()}
+        new = {c: self.tokenizer.words(c) for c in {c for parts in split if parts for c in parts if c not in self.chunks}}
         odd = {i: self.tokenizer.words(texts[i]) for i, parts in enumerate(split) if parts is None}
         self._learn({w for words in (*new.values(), *odd.values()) for w in words})
         self.chunks.update((c, self._joined(words)) for c, words in new.items())
@@ -328,12 +410,19 @@ class Encoder:
 
     def _learn(self, words: set[str | int]) -> None:
         new = [w for w in words if w not in self.known]
-        for w, ids in zip(new, self.lexicon.find([_bytes(w) for w in new]), strict=True):
-            self.known[w] = self.tokenizer.entry(w, None if ids is None else ids.tolist())
+        coded = [_bytes(w) for w in new]
+        found = [None if ids is None else ids.tolist() for ids in self.lexicon.find(coded)]
+        rest = [k for k, ids in enumerate(found) if ids is None and 0 < len(coded[k]) <= LONGEST]
+        for k, ids in zip(rest, self.tokenizer.merge_all([coded[k] for k in rest]), strict=True):
+            found[k] = ids
+        for w, ids in zip(new, found, strict=True):
+            self.known[w] = self.tokenizer.entry(w, ids)
 
     def _joined(self, words: list[str | int]) -> tuple[bytes, str]:
+        if len(words) == 1:
+            return self.known[words[0]]
         entries = [self.known[w] for w in words]
-        return entries[0] if len(entries) == 1 else (b"".join([e[0] for e in entries]), " ".join([e[1] for e in entries if e[1]]))
+        return (b"".join([e[0] for e in entries]), " ".join([e[1] for e in entries if e[1]]))
 
 
 def _bytes(word: str | int) -> bytes:
@@ -349,19 +438,20 @@ def encode(docs: DataFrame, tokenizer_json: str, lexicon: Lexicon | None = None,
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Tokenizer(sent.value), Lexicon.mapped(SparkFiles.get(name)))
-        for batch in batches:
-            n, ids_sha, text_sha, ids_, texts = [], [], [], [], []
-            for ids, decoded in encoder.encode(column(batch, "text").to_pylist()):
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
+        with uncollected():
+            for batch in batches:
+                n, ids_sha, text_sha, ids_, texts = [], [], [], [], []
+                for ids, decoded in encoder.encode(column(batch, "text").to_pylist()):
+                    n.append(len(ids) // 4)
+                    ids_sha.append(hashlib.sha256(ids).hexdigest())
+                    text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
+                    if keep:
+                        ids_.append(ids), texts.append(decoded)
+                arrays = [column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep:
-                    ids_.append(ids), texts.append(decoded)
-            arrays = [column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep:
-                arrays, names = [*arrays, pa.array(ids_, pa.binary()), pa.array(texts, pa.string())], [*names, "ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                    arrays, names = [*arrays, pa.array(ids_, pa.binary()), pa.array(texts, pa.string())], [*names, "ids", "decoded"]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep
     return df.mapInArrow(run, schema)
