@@ -13,7 +13,9 @@ that pair is found from its longer word. After its edit a state follows one edge
 Nodes are 64-bit hashes of prefixes; a collision can only add states, and every pair is compared letter by letter in the end.
 
 A node has at most as many edges as there are letters (90), so a join makes no more than that for a state; a node that many
-words share is a skewed key of a join with few rows on the other side, which adaptive execution splits.
+words share is a skewed key of a join with few rows on the other side, which adaptive execution splits. No table is broadcast:
+Spark takes a table's size for that of its files or of the rows before they are exploded, a small part of what the driver would
+hold.
 
 Defined results: null texts have no words; a document without a doc_id has its runs counted as they are; repeated documents
 count each time; ties of the largest n go to the smallest word in code-point order; an empty table gives an empty table. Very
@@ -51,6 +53,11 @@ def word_counts(docs: DataFrame, noise: int | None = NOISE, least_length: int =
     return words.where((F.col("n") >= least_count) & (F.char_length("word") >= least_length))
 
 
+def _joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Joined by a shuffle on both sides, whatever Spark takes their sizes for."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For both directions of each word, the nodes of its prefixes from the half where its search starts."""
     for batch in batches:
@@ -76,7 +83,7 @@ def _explicit(paths: DataFrame) -> DataFrame:
     next_letter = F.substring("spelled", F.col("pos") + 1, F.lit(1))  # empty at the word's end
     kept = steps.groupBy("node").agg(F.min(next_letter).alias("a"), F.max(next_letter).alias("b"), F.max("first").alias("first"))
     kept = kept.where(F.col("first") | (F.col("a") != F.col("b")) | (F.col("a") == "")).select("node")
-    found = steps.join(kept, "node").groupBy("word", "n", "spelled", "side").agg(F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("at"))
+    found = _joined(steps, kept, "node").groupBy("word", "n", "spelled", "side").agg(F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("at"))
     return found
 
 
@@ -96,7 +103,7 @@ def _level(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     same = here == F.col("label")
     replaced = (F.col("edits") == 0) & (F.char_length(here) == size) & (F.levenshtein(here, F.col("label"), 1) == 1)
     skipped = (F.col("edits") == 0) & (F.char_length(more) == size + 1) & (F.levenshtein(more, F.col("label"), 1) == 1)
-    joined = f.join(e, (F.col("f.node") == F.col("e.node")) & (same | replaced | skipped))
+    joined = _joined(f, e, (F.col("f.node") == F.col("e.node")) & (same | replaced | skipped))
     on = lambda step, edits: F.struct(step.cast("int").alias("pos"), edits.cast("int").alias("edits"))
     moves = F.array_compact(F.array(F.when(same, on(F.col("pos") + size, F.col("edits"))), F.when(replaced, on(F.col("pos") + size, F.lit(1))), F.when(skipped, on(F.col("pos") + size + 1, F.lit(1)))))
     moved = joined.select("word", "n", "spelled", F.col("child").alias("node"), F.explode(moves).alias("m"))
@@ -120,7 +127,7 @@ def _near(words: DataFrame, levels: int, explicit: DataFrame, tag: str) -> tuple
     met = ends[0]
     for more in ends[1:]:
         met = met.unionByName(more)
-    pairs = met.join(spelled, "node").where((F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1))
+    pairs = _joined(met, spelled, "node").where((F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1))
     return pairs.select("word", "n", "near", "near_n"), kept
 
 
@@ -150,7 +157,7 @@ def group_variants(words: DataFrame, factor: int = FACTOR) -> DataFrame:
     """
     near = near_words(words)
     best = near.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("m"), "near")).alias("b"))
-    table = words.select("word", "n").join(best, "word", "left")
+    table = _joined(words.select("word", "n"), best, "word", "left")
     has = -F.col("b.m") >= factor * F.col("n")
     table = staged(table.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(has, F.col("b.near")).alias("form"), F.when(has, -F.col("b.m")).alias("form_n")), "variants-forms")
     discard(near)
@@ -158,8 +165,8 @@ def group_variants(words: DataFrame, factor: int = FACTOR) -> DataFrame:
     links, steps = table.where("form is not null").select("word", F.col("form").alias("to")), 1
     while factor**steps <= most:  # no chain of forms is longer
         on = links.select(F.col("word").alias("to"), F.col("to").alias("further"))
-        links, steps = staged(links.join(on, "to", "left").select("word", F.coalesce("further", "to").alias("to")), "variants-roots"), 2 * steps
-    return table.join(links, "word", "left").select("word", F.coalesce("to", "word").alias("root"), "n", "n_near", "form", "form_n")
+        links, steps = staged(_joined(links, on, "to", "left").select("word", F.coalesce("further", "to").alias("to")), "variants-roots"), 2 * steps
+    return _joined(table, links, "word", "left").select("word", F.coalesce("to", "word").alias("root"), "n", "n_near", "form", "form_n")
 
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

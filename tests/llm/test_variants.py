@@ -83,3 +83,22 @@ def test_a_hub_shared_by_a_third_of_all_words(spark):
     got = grouped(spark.createDataFrame(list(counts.items()), "word string, n long"))
     assert got == plain_groups(counts)
     assert got["common"][2] == 3 * 64 and all(r[0] == "common" for r in got.values())
+
+
+def test_no_table_is_broadcast(spark, monkeypatch):
+    """Sizes are those of files or of rows before they are exploded, so a broadcast would be far larger than Spark thinks."""
+    plans, write = [], variants.staged
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def watched(df, tag):
+        out = write(df, tag)
+        plans.append((tag, plan(df)))
+        return out
+
+    monkeypatch.setattr(variants, "staged", watched)
+    words = spark.createDataFrame([("lorems", 500), ("lorem", 4), ("lorexs", 7), ("dolors", 9), ("dolorss", 90)], "word string, n long")
+    out = variants.group_variants(words)
+    assert out.count() == 5
+    plans.append(("out", plan(out)))
+    assert {"variants-nodes", "variants-pairs", "variants-forms", "variants-roots", "out"} <= {tag for tag, _ in plans}
+    assert all("Join" in text for tag, text in plans if tag != "variants-edges") and not [tag for tag, text in plans if "Broadcast" in text]
